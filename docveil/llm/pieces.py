@@ -2,7 +2,7 @@
 
 Texts are cut only where no token can cross (see SAFE and white_pieces); each distinct piece is given to the library
 once per worker while it is remembered, and the ids of a text are put together from those of its pieces. What is
-remembered has a bound (MOST entries) and is dropped as a whole beyond it.
+remembered has a bound (MOST entries); beyond it, the pieces seen least are forgotten.
 """
 
 from __future__ import annotations
@@ -14,17 +14,18 @@ import numpy as np
 
 from .common import spread
 
-MOST = 300_000
-#: A space between two characters that are white space to no library: the pattern of byte-level BPE starts a new
-#: match at such a space, whatever stands around it, so the text may be cut before it.
+MOST = 600_000
+#: Printable characters other than the space are white space to no library. Between two of them, a single space starts
+#: a new match of the pattern of byte-level BPE, whatever else the text holds, so the text may be cut before it.
 _SOLID = "!-~¡-ᙿ"
 SAFE = re.compile(f"(?<=[{_SOLID}]) (?=[{_SOLID}])")
-_UNSAFE = re.compile(f"(?:\\A|[^{_SOLID}]) | (?:[^{_SOLID}]|\\Z)")
 
 
 def spaced_pieces(text: str) -> list[str]:
-    """The text cut at every safe space; all pieces but the first have lost the space they start with."""
-    return text.split(" ") if _UNSAFE.search(text) is None else SAFE.split(text)
+    """The text cut at safe spaces; all pieces but the first have lost the space they start with."""
+    if text.replace("\n", "").isprintable() and "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " ":
+        return text.split(" ")
+    return SAFE.split(text)
 
 
 class Ids(dict):
@@ -39,6 +40,19 @@ class Ids(dict):
         self.clear()
         self.fresh: list = []
         self.flat, self.lens = array("I"), array("q")
+        self.seen = np.zeros(0, dtype=np.int64)
+
+    def thin_out(self) -> None:
+        """Keeps the pieces that were looked up most, at most half as many as the bound."""
+        least = max(2, int(np.partition(self.seen, -(self.most // 2))[-(self.most // 2)]) + 1)
+        keep = np.flatnonzero(self.seen >= least)
+        names = np.fromiter(self, dtype=object, count=len(self))[keep].tolist()
+        lens, flat, seen = np.array(self.lens, dtype=np.int64), np.array(self.flat, dtype=np.uint32), self.seen[keep] // 2
+        self.drop()
+        self.update(zip(names, range(len(names)), strict=True))
+        self.lens, self.seen = array("q", lens[keep].tobytes()), seen
+        if self.keep_ids:
+            self.flat = array("I", flat[spread((np.cumsum(lens) - lens)[keep], lens[keep])].tobytes())
 
     def __missing__(self, piece):
         self[piece] = n = len(self)
@@ -62,10 +76,11 @@ class Ids(dict):
 
     def look_up(self, pieces: list) -> np.ndarray:
         if len(self) > self.most:
-            self.drop()
+            self.thin_out()
         at = np.fromiter(map(self.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         if self.fresh:
             self.learn()
+        self.seen = np.pad(self.seen, (0, len(self) - len(self.seen))) + np.bincount(at, minlength=len(self))
         return at
 
     def counts(self, pieces: list) -> np.ndarray:
