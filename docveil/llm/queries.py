@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
+from .fingerprint import op5_fingerprint
+from .near_vectors import op2_embedding_near_dedup
+from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
 from .token_counts import op4_token_counts
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_fingerprint": op5_fingerprint,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
