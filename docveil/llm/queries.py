@@ -7,6 +7,7 @@ from .fingerprint import op5_fingerprint
 from .near_vectors import op2_embedding_near_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
+from .substring import op6_substring_dedup
 from .token_counts import op4_token_counts
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprint": op5_fingerprint,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
