@@ -31,15 +31,15 @@ def spaced_pieces(text: str) -> list[str]:
 class Ids(dict):
     """Piece -> number; the ids of a piece stand in `flat` from `starts` on. New pieces wait in `fresh`."""
 
-    def __init__(self, encode, keep_ids: bool = True, most: int = MOST, batch_bytes: int = 1 << 16):
+    def __init__(self, encode, keep_ids: bool = True, most: int = MOST, batch_bytes: int = 1 << 16, code: str = "I"):
         super().__init__()
-        self.encode, self.keep_ids, self.most, self.batch_bytes = encode, keep_ids, most, batch_bytes
+        self.encode, self.keep_ids, self.most, self.batch_bytes, self.code = encode, keep_ids, most, batch_bytes, code
         self.drop()
 
     def drop(self) -> None:
         self.clear()
         self.fresh: list = []
-        self.flat, self.lens = array("I"), array("q")
+        self.flat, self.lens = array(self.code), array("q")
         self.seen = np.zeros(0, dtype=np.int64)
 
     def thin_out(self) -> None:
@@ -47,12 +47,12 @@ class Ids(dict):
         least = max(2, int(np.partition(self.seen, -(self.most // 2))[-(self.most // 2)]) + 1)
         keep = np.flatnonzero(self.seen >= least)
         names = np.fromiter(self, dtype=object, count=len(self))[keep].tolist()
-        lens, flat, seen = np.array(self.lens, dtype=np.int64), np.array(self.flat, dtype=np.uint32), self.seen[keep] // 2
+        lens, flat, seen = np.array(self.lens, dtype=np.int64), np.array(self.flat, dtype=self.code), self.seen[keep] // 2
         self.drop()
         self.update(zip(names, range(len(names)), strict=True))
         self.lens, self.seen = array("q", lens[keep].tobytes()), seen
         if self.keep_ids:
-            self.flat = array("I", flat[spread((np.cumsum(lens) - lens)[keep], lens[keep])].tobytes())
+            self.flat = array(self.code, flat[spread((np.cumsum(lens) - lens)[keep], lens[keep])].tobytes())
 
     def __missing__(self, piece):
         self[piece] = n = len(self)
@@ -91,11 +91,11 @@ class Ids(dict):
         """All ids of the pieces in order, and how many each piece has."""
         at = self.look_up(pieces)
         if not len(at):
-            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=self.code), np.zeros(0, dtype=np.int64)
         lens = np.array(self.lens, dtype=np.int64)
         starts = np.cumsum(lens) - lens
         lens, starts = lens[at], starts[at]
-        return np.array(self.flat, dtype=np.uint32)[spread(starts, lens)], lens
+        return np.array(self.flat, dtype=self.code)[spread(starts, lens)], lens
 
 
 def sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
