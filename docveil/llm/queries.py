@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .fingerprint import op5_fingerprint
+from .language_id import op3_language_id
 from .near_vectors import op2_embedding_near_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
+from .quality import op10_quality
 from .substring import op6_substring_dedup
 from .token_counts import op4_token_counts
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprint": op5_fingerprint,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}

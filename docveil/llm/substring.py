@@ -65,7 +65,7 @@ class Windows:
 
 
 def _with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key"))
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def repeated_windows(docs: DataFrame, length: int, k: int, prefixes: tuple[int, ...], group_rows: int) -> DataFrame:
@@ -122,7 +122,8 @@ def repeated_windows(docs: DataFrame, length: int, k: int, prefixes: tuple[int,
 
 
 def without_repeats(docs: DataFrame, length: int = 35, k: int = 12, prefixes: tuple[int, ...] = (4, 12), group_rows: int = 50_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text, words joined by one space), spans (maximal repeats: first word, number of words)."""
+    """doc_id, n_words, n_removed, kept (text, words joined by one space), spans (maximal repeats: first word, number of
+    words), row (all columns of docs as they were)."""
     rows = _with_key(docs, doc_id, text)
     kind = rows.schema["id"].dataType.simpleString()
     places = repeated_windows(rows, length, k, prefixes, group_rows)
@@ -146,10 +147,10 @@ def without_repeats(docs: DataFrame, length: int = 35, k: int = 12, prefixes: tu
                     out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), spans))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 4
                 span = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], span)], ["id", "n_words", "n_removed", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], span)], ["id", "row", "n_words", "n_removed", "kept", "spans"])
 
-    both = rows.join(places, "key", "left").select("id", "text", "places")
-    return both.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,words:int>>").withColumnRenamed("id", doc_id)
+    both = rows.join(places, "key", "left").select("id", "text", "row", "places")
+    return both.mapInArrow(run, f"id {kind}, row {rows.schema['row'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,words:int>>").withColumnRenamed("id", doc_id)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
