@@ -1,8 +1,79 @@
-"""Placeholder until all stages exist."""
+"""A corpus pipeline of five operators: language ID, quality, near duplicates, repeated passages, packing.
 
-STAGES: list = []
+STAGES lists (name, function). A function takes (spark, docs, sf_dir), docs with the columns of `documents`, and works
+on all that the stage before kept; all but the last give back those columns. run() applies them to `documents`, each
+stage written to the shared folder and read again. Columns beyond those of `documents` are carried along.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docveil.llm.common import cut
+from docveil.llm.language_id import language_id
+from docveil.llm.ngram_join import ngram_join
+from docveil.llm.packing import pack
+from docveil.llm.quality import quality, trained
+from docveil.llm.substring import without_repeats
+
+#: Documents whose language is less sure than this are rejected; of four languages, the surest has at least 0.25.
+LEAST_SCORE = 0.35
+#: Documents less likely than this to have the highest grade are rejected.
+LEAST_QUALITY = 0.5
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    """The columns that a model reads, and all columns as one, so that no name can clash."""
+    return docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of unknown language (null, empty and letterless ones too) or of an unsure one."""
+    return language_id(_row(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects; it learns from labels of documents that are still there."""
+    model = trained(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if len(model.grades) < 2:
+        return docs  # nothing was learned that could reject a document
+    return quality(_row(docs).drop("lang"), model).filter(F.col("tail_prob") >= LEAST_QUALITY).select("row.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates, once."""
+    kept = ngram_join(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes words in repeated windows of 35 words out of the texts; a text with nothing to remove stays as it is."""
+    out = without_repeats(docs)
+    new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    columns = [{"text": new, "n_chars": F.char_length(new).cast("long")}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return out.select(*columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 ids in sequences."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("substring dedup", without_repeated_passages),
+    ("packing", packed),
+]
+#: Learned models and a tokenizer decide on the rows: SQL can't express them. tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
