@@ -14,6 +14,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body names it often or within a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(x) -> Column:
     """Without white space at both ends, Unicode white space and separators included."""
     return F.regexp_replace(col(x), f"(?U)\\A{fixed.WHITE}+|{fixed.WHITE}+\\z", "")
@@ -132,15 +137,10 @@ def valid_pan(raw) -> Column:
 
 def valid_name(x) -> Column:
     """One to four capitalised words, none of them a job's or an address's, and no heading."""
-    v = strip(x)
-    own = F.filter(F.transform(words(v), lambda w: F.regexp_replace(w, r"\A[.,;]+|[.,;]+\z", "")), lambda w: w != "")
     barred = F.array(*[F.lit(w) for w in [*fixed.JOB_WORDS, *fixed.ADDRESS_WORDS]])
-    return (
-        ~F.lower(v).isin(fixed.NOT_NAMES)
-        & F.size(own).between(1, 4)
-        & ~F.arrays_overlap(F.transform(own, F.lower), barred)
-        & F.forall(own, lambda w: w.rlike(r"\A[A-Z][a-zA-Z.\-]*\z"))
-    )
+    plain = lambda w: F.regexp_replace(w, r"\A[.,;]+|[.,;]+\z", "")
+    fit = lambda own: F.size(own).between(1, 4) & F.forall(own, lambda w: w.rlike(r"\A[A-Z][a-zA-Z.\-]*\z")) & ~F.arrays_overlap(F.transform(own, F.lower), barred)
+    return let(strip(x), lambda v: ~F.lower(v).isin(fixed.NOT_NAMES) & let(F.filter(F.transform(words(v), plain), lambda w: w != ""), fit))
 
 
 def norm(x) -> Column:

@@ -38,10 +38,12 @@ def compiled(docs: DataFrame, style: str = "token", text: str = "text") -> DataF
 
 def verified(docs: DataFrame, text: str = "text", output: str = "output") -> DataFrame:
     """Findings with removed (null unless removal was due) and evidence: whether the input's bytes held the value at all."""
-    hay, before = F.encode(F.col(output), "UTF-8"), F.encode(F.col(text), "UTF-8")
     there = lambda h, f: F.exists(S.needles(f["raw"]), lambda n: F.contains(h, n))
     due = lambda f: (f["decision"] == "REMOVE") & f["raw"].isNotNull()
-    return docs.withColumn("findings", F.transform("findings", lambda f: f.withField("removed", F.when(due(f), ~there(hay, f))).withField("evidence", F.when(due(f), there(before, f)))))
+    one = lambda hay, before: lambda f: f.withField("removed", F.when(due(f), ~there(hay, f))).withField("evidence", F.when(due(f), there(before, f)))
+    # the bytes are made once a document, and only where something was due
+    bytes_of = lambda c: F.when(F.exists("findings", due), F.encode(F.col(c), "UTF-8"))
+    return docs.withColumn("findings", S.let(F.struct(bytes_of(output).alias("hay"), bytes_of(text).alias("before")), lambda b: F.transform("findings", one(b["hay"], b["before"]))))
 
 
 def verify_relation(rows: DataFrame, haystacks: DataFrame, doc_id: str = "doc_id", content: str = "content", ocr: str | None = None) -> DataFrame:

@@ -66,22 +66,32 @@ def addresses(text: Column) -> Column:
     return F.flatten(F.transform(S.lines(text), line_addresses))
 
 
-def _name_candidates(text: Column) -> dict[str, Column]:
-    own = S.lines(text)
+def _name_candidates(text: Column, own: Column) -> dict[str, Column]:
+    """own: the text's lines."""
     labelled = F.transform(own, lambda line: S.strip(F.regexp_extract(line, fixed.NAME_PREFIX, 1)))
     honorific = F.transform(_all(text, fixed.NAME_HONORIFIC), lambda r: S.strip(F.regexp_extract(r, r"\A[^\n\r]*", 0)))
     return {"prefix": F.filter(labelled, lambda r: (r != "") & S.valid_name(r)), "honorific": honorific, "toplines": F.filter(F.slice(own, 1, 6), S.valid_name)}
 
 
+def _anchored(text: Column, low: Column, found: Column) -> Column:
+    """Each value as it first stands in the text, whatever its case there; distinct and not blank."""
+
+    def one(r):
+        return S.let(F.call_function("locate", F.lower(r), low), lambda at: S.strip(F.when(at > 0, F.substring(text, at, F.char_length(r))).otherwise(r)))
+
+    return F.array_distinct(F.filter(F.transform(found, one), lambda r: r != ""))
+
+
 def person_names(text: Column) -> Column:
     """Names by label, by honorific and among the first six lines, as they first stand in the text; none within a longer one."""
-    found = F.array_distinct(F.concat(*_name_candidates(text).values()))
-    low = F.lower(text)
-    place = lambda r: F.call_function("locate", F.lower(r), low)
-    anchored = F.transform(found, lambda r: S.strip(F.when(place(r) > 0, F.substring(text, place(r), F.char_length(r))).otherwise(r)))
-    own = F.array_distinct(F.filter(anchored, lambda r: r != ""))
-    whole = F.filter(own, lambda r: ~F.exists(own, lambda s: (s != r) & F.contains(s, r)))
-    keyed = F.array_sort(F.transform(whole, lambda r: F.struct((-F.char_length(r)).alias("n"), F.call_function("locate", r, text).alias("at"), r.alias("raw"))))
+
+    def outer(own):
+        whole = F.filter(own, lambda r: ~F.exists(own, lambda s: (s != r) & F.contains(s, r)))
+        return F.array_sort(F.transform(whole, lambda r: F.struct((-F.char_length(r)).alias("n"), F.call_function("locate", r, text).alias("at"), r.alias("raw"))))
+
+    found = S.let(S.lines(text), lambda own: F.array_distinct(F.concat(*_name_candidates(text, own).values())))
+    # most texts have none; then nothing is searched for
+    keyed = S.let(found, lambda f: S.let(F.when(F.size(f) > 0, F.lower(text)), lambda low: S.let(_anchored(text, low, f), outer)))
     return _candidates(F.transform(keyed, lambda s: s["raw"]), 7, "PERSON_NAME", "MEDIUM")
 
 
@@ -90,37 +100,42 @@ DETECTORS: dict[str, Callable[[Column], Column]] = {"email": emails, "address":
 NAMES = {"person_name": person_names}
 
 
+_ORDER = ("rule", "line", "sub", "pos", "type", "severity", "raw")
+
+
 def once(candidates: Column) -> Column:
     """The first candidate of each value, in the order of findings. Sorts instead of comparing all with all."""
-    place = lambda c: F.struct(c["raw"].alias("raw"), c["rule"].alias("rule"), c["line"].alias("line"), c["sub"].alias("sub"), c["pos"].alias("pos"), c["type"].alias("type"), c["severity"].alias("severity"))
-    by_value = F.array_sort(F.transform(candidates, place))
-    firsts = F.filter(F.arrays_zip(by_value.alias("c"), F.concat(F.array(F.lit(None).cast("string")), F.transform(by_value, lambda c: c["raw"])).alias("before")), lambda z: z["c"].isNotNull() & ~z["c"]["raw"].eqNullSafe(z["before"]))
-    back = F.transform(firsts, lambda z: F.struct(*[z["c"][f].alias(f) for f in ("rule", "line", "sub", "pos", "type", "severity", "raw")]))
-    return F.array_sort(back)
+    by_value = F.array_sort(F.transform(candidates, lambda c: F.struct(c["raw"].alias("raw"), *[c[f].alias(f) for f in _ORDER[:-1]])))
+    # index - 1 of the first element is no index: get() gives null there
+    firsts = S.let(by_value, lambda v: F.filter(v, lambda c, i: ~F.get(v, i - 1)["raw"].eqNullSafe(c["raw"])))
+    return F.array_sort(F.transform(firsts, lambda c: F.struct(*[c[f].alias(f) for f in _ORDER])))
 
 
 def numbered(candidates: Column, location: Column, visibility: str = "visible", prefix: str = "f") -> Column:
     """Findings: numbered as they come, shown by tokens ("Email 2") that count the values of a family."""
-    kin = F.transform(candidates, lambda c: S.family(c["type"]))
 
-    def one(c, i):
-        n = F.size(F.filter(F.slice(kin, F.lit(1), i + 1), lambda k: k == S.family(c["type"])))
-        return F.struct(
-            F.format_string(f"{prefix}_%02d", i + 1).alias("id"), c["type"].alias("type"), location.alias("location"), F.lit(visibility).alias("visibility"), S.sha256_hex(c["raw"]).alias("value_hash"),
-            F.coalesce(F.concat(S.family(c["type"]), F.lit(" "), n.cast("string")), S.mask(c["raw"])).alias("value_preview"), c["severity"].alias("severity"), c["raw"].alias("raw"),
-        )
+    def one(kin):
+        def make(c, i):
+            kind = F.get(kin, i)
+            n = F.size(F.filter(F.slice(kin, F.lit(1), i + 1), lambda k: k == kind))
+            return F.struct(
+                F.format_string(f"{prefix}_%02d", i + 1).alias("id"), c["type"].alias("type"), location.alias("location"), F.lit(visibility).alias("visibility"), S.sha256_hex(c["raw"]).alias("value_hash"),
+                F.coalesce(F.concat(kind, F.lit(" "), n.cast("string")), S.mask(c["raw"])).alias("value_preview"), c["severity"].alias("severity"), c["raw"].alias("raw"),
+            )
+
+        return make
 
-    return F.transform(candidates, one)
+    return S.let(candidates, lambda all_: S.let(F.transform(all_, lambda c: S.family(c["type"])), lambda kin: F.transform(all_, one(kin))))
 
 
-def candidates(text: Column, names: bool = True) -> Column:
-    own = once(F.concat(*[f(text) for f in DETECTORS.values()]))
+def candidates(text: Column, names: bool = True, detectors: list[str] | None = None) -> Column:
+    own = once(F.concat(*[f(text) for d, f in DETECTORS.items() if detectors is None or d in detectors]))
     return F.concat(own, *[f(text) for f in NAMES.values()]) if names else own
 
 
-def text_findings(docs: DataFrame, text: str = "text", location: str = "text", names: bool = True) -> DataFrame:
-    """docs with `findings`, an array of findings; null and empty texts have none."""
-    held = docs.withColumn("_candidates", F.coalesce(candidates(F.coalesce(F.col(text), F.lit("")), names), F.array().cast(f"array<{CANDIDATE}>")))
+def text_findings(docs: DataFrame, text: str = "text", location: str = "text", names: bool = True, detectors: list[str] | None = None) -> DataFrame:
+    """docs with `findings`, an array of findings; null and empty texts have none. detectors: names, all by default."""
+    held = docs.withColumn("_candidates", F.coalesce(candidates(F.coalesce(F.col(text), F.lit("")), names, detectors), F.array().cast(f"array<{CANDIDATE}>")))
     return held.withColumn("findings", numbered(F.col("_candidates"), F.lit(location))).drop("_candidates")
 
 
@@ -143,7 +158,7 @@ def address_rule(docs: DataFrame, rule: int, doc_id: str = "doc_id", text: str =
 
 
 def name_rule(docs: DataFrame, rule: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    found = docs.select(doc_id, F.posexplode(_name_candidates(F.coalesce(F.col(text), F.lit("")))[rule]).alias("n", "raw"))
+    found = docs.select(doc_id, F.posexplode(S.let(S.lines(F.coalesce(F.col(text), F.lit(""))), lambda own: _name_candidates(F.coalesce(F.col(text), F.lit("")), own)[rule])).alias("n", "raw"))
     return found.select(doc_id, F.col("n").cast("long").alias("n"), "raw")
 
 
