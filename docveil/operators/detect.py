@@ -139,22 +139,27 @@ def text_findings(docs: DataFrame, text: str = "text", location: str = "text", n
     return held.withColumn("findings", numbered(F.col("_candidates"), F.lit(location))).drop("_candidates")
 
 
+def exploded(rows: DataFrame, doc_id: str, array: str) -> DataFrame:
+    """doc_id, n, f. Spark derives a filter from an inner explode and computes the array again for it; an outer one has none."""
+    return rows.select(doc_id, F.posexplode_outer(array).alias("n", "f")).filter("f is not null")
+
+
 def findings(analyzed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """A row per finding, raw values included; report.public() leaves them out."""
-    return analyzed.select(doc_id, F.posexplode("findings").alias("n", "f")).select(doc_id, "n", "f.*")
+    return exploded(analyzed.select(doc_id, "findings"), doc_id, "findings").select(doc_id, "n", "f.*")
 
 
 def detect(docs: DataFrame, detector: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n, raw: what one detector finds, each value once per text."""
     f = {**DETECTORS, **NAMES}[detector]
     found = docs.select(doc_id, once(f(F.coalesce(F.col(text), F.lit("")))).alias("c"))
-    return found.select(doc_id, F.posexplode("c").alias("n", "c")).select(doc_id, F.col("n").cast("long").alias("n"), F.col("c.type").alias("type"), F.col("c.severity").alias("severity"), F.col("c.raw").alias("raw"))
+    return exploded(found, doc_id, "c").select(doc_id, F.col("n").cast("long").alias("n"), "f.type", "f.severity", "f.raw")
 
 
 def address_rule(docs: DataFrame, rule: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, raw, line of one address rule (0 labelled line, 1 street, 2 city and ZIP, 3 postal index), repeats included."""
-    found = docs.select(doc_id, F.explode(addresses(F.coalesce(F.col(text), F.lit("")))).alias("c")).filter(F.col("c.sub") == rule)
-    return found.select(doc_id, F.col("c.line").cast("long").alias("line"), F.col("c.raw").alias("raw"))
+    found = exploded(docs.select(doc_id, addresses(F.coalesce(F.col(text), F.lit(""))).alias("c")), doc_id, "c").filter(F.col("f.sub") == rule)
+    return found.select(doc_id, F.col("f.line").cast("long").alias("line"), "f.raw")
 
 
 def name_rule(docs: DataFrame, rule: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
