@@ -52,15 +52,14 @@ def vectors(memo: Ids, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     words = [t.split() for t in texts]
     lens = np.array([len(w) for w in words], dtype=np.int64)
     flat = [x for w in words for x in w]
-    facts = memo.ids(flat)[0].reshape(-1, 4).astype(np.int64)
+    at = memo.look_up(flat)  # equal words have equal numbers
+    facts = np.array(memo.flat, dtype=np.int64).reshape(-1, 4)[at]
     of = np.repeat(np.arange(len(texts)), lens)
     n = np.maximum(lens, 1)
     row, feature, value = [of, of], [facts[:, 0], facts[:, 1]], [1 / n[of], 1 / n[of]]
-    numbers: dict[bytes, int] = {}
-    at = np.fromiter((numbers.setdefault(x, len(numbers)) for x in flat), dtype=np.int64, count=len(flat))
     if len(flat):
-        pairs = np.unique(of * (len(numbers) + 1) + at)
-        distinct = np.bincount(pairs // (len(numbers) + 1), minlength=len(texts))
+        span = len(memo) + 1
+        distinct = np.bincount(np.unique(of * span + at) // span, minlength=len(texts))
         new = np.diff(at, prepend=-1) != 0
         new[(np.cumsum(lens) - lens)[lens > 0]] = True
         again = lens - sums(new, lens)
