@@ -7,7 +7,7 @@ distinct 64-bit hashes of the n-grams of a text; fewer than n words make one n-g
 2. N-grams are counted over all texts in a table of fixed size; n-grams are ordered by that count, rarest first, then
    by hash. Two sets that link share an n-gram among the first |x| - ceil(t |x|) + 1 of each (prefix filter).
 3. Prefix n-grams that only one node has are dropped (repeats.py); the others are the join's postings.
-4. Pivot round: in each n-gram's postings, the pair of every node with one hub is tried. That links large groups of
+4. Pivot round: in each n-gram's postings, the pair of every node with one hub, which has it earliest, is tried. That links large groups of
    near copies with as many pairs as postings, not with the square of the group.
 5. Last round: all pairs of postings of one n-gram whose components still differ, so no link that could change a
    component is left out. Pairs must pass the length filter and the positional filter, pairs tried before are left
@@ -191,8 +191,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "do
     wanted = live.select("node").distinct().join(nodes, "node")
     by_id = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id")
     node_texts = cut(_only_own(by_id))
-    # pivot round
-    hubs = cut(live.groupBy("gram").agg(F.min(F.struct("node", "size", "pos")).alias("h")).select("gram", "h.*"))
+    # pivot round; an edited copy's own n-grams are rare and come first, so the node that has an n-gram earliest is the
+    # likeliest to be what the others were made from
+    hubs = cut(live.groupBy("gram").agg(F.min(F.struct("pos", "node", "size")).alias("h")).select("gram", "h.*"))
     tried = live.alias("x").join(hubs.alias("y"), "gram").filter("x.node <> y.node").filter(admitted("x", "y", percent))
     first = cut(verified(_as_pairs(tried, "x", "y"), node_texts, n, percent))
     links = first.filter("similar").select("a", "b")
