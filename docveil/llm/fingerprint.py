@@ -41,7 +41,7 @@ def _sums(unit: Column) -> list[Column]:
     """Two lanes to a sum, 32 bits apart; no lane can reach the other before 2 ** 28 units."""
     out = []
     for k in range(_HASHES):
-        h = F.xxhash64(unit, F.lit(k))
+        h = F.when(unit.isNotNull(), F.xxhash64(unit, F.lit(k)))
         for shift in range(0, 32, 4):
             out.append(F.coalesce(F.sum(F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_PAIR))), F.lit(0)).alias(f"s{len(out)}"))
     return out
@@ -97,8 +97,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_r
     # one row for each run, at most most_runs + 1; each run lends its first row to the run before it, the first run to the last
     heads = rows.groupBy("run").agg(F.min(F.struct("id", "run")).alias("h")).select("run", F.col("h.id").alias("head"))
     order = Window.orderBy("run")
-    last = heads.agg(F.max("run").alias("last"))
-    to = heads.withColumn("to", F.lag("run").over(order)).crossJoin(F.broadcast(last)).select("run", "head", F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wraps"))
+    last = F.max("run").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    to = heads.withColumns({"to": F.lag("run").over(order), "last": last}).select("run", "head", F.coalesce("to", "last").alias("to"), F.col("to").isNull().alias("wraps"))
     first_id = F.broadcast(to.select(F.col("run").alias("r"), "head", "to", "wraps"))
     # rows that repeat the first id: only the one whose text comes first is lent
     lent = rows.join(first_id, (F.col("run") == F.col("r")) & F.col("id").eqNullSafe(F.col("head"))).groupBy("to", "wraps", "id").agg(F.min("text").alias("text"))

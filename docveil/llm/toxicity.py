@@ -109,7 +109,8 @@ def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float
     k, n, n_pairs = len(index), len(y), max(1, len(pairs))
     w, bias = np.zeros(k), float(np.log(n1 / n0))
     v, v_bias, step_t = w.copy(), bias, 1.0
-    rate = 4.0 / (1 + np.bincount(r, minlength=n).mean() + 8 * fairness * bool(pairs))
+    # one over a bound of the curvature: the traces of both quadratic forms
+    rate = 1 / (0.25 * (1 + len(x) / n) + 2 * fairness * (len(plus) + len(minus)) / n_pairs)
     for _ in range(rounds):
         score = 1 / (1 + np.exp(-np.clip(np.bincount(r, v[x], minlength=n) + v_bias, -60, 60)))
         g = np.bincount(x, (score - y)[r], minlength=k) / n
