@@ -81,8 +81,10 @@ def n_buckets(df: DataFrame, mb: int = 4) -> tuple[int, int]:
     """(partitions, buckets) for entries made from this input: by the size of its files as Spark's planner has it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size >= int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**62))) // 2:
+        size = 0  # rows that aren't in files: the planner doesn't know
     n = max(at_least, min(100_000, size // (mb << 20)))
-    return n, 16 * n
+    return n, 4 * n
 
 
 def send(rows: DataFrame, entries_of, buckets: int, counter=None, by_id: bool = True, most: int = 1_500_000) -> DataFrame:
@@ -104,17 +106,18 @@ def send(rows: DataFrame, entries_of, buckets: int, counter=None, by_id: bool =
             own_bucket = (home % np.uint64(buckets)).astype(np.int64)
             to = np.where(late, (own % np.uint64(buckets)).astype(np.int64), own_bucket)
             mark = (repeats & first).astype(np.uint64)
+            out: dict[int, dict[str, bytes]] = {}
             for name, sel in (("entries", first), ("known", late)):
                 at = np.flatnonzero(sel)
+                if not len(at):
+                    continue
                 at = at[np.argsort(to[at], kind="stable")]
                 edges = np.flatnonzero(np.diff(to[at], prepend=-1))
-                out = []
                 for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
                     part = at[a:b]
                     cols = (key[part], own[part], extra[part], mark[part]) if name == "entries" else (key[part], own[part], extra[part])
-                    out.append(as_row(int(to[part[0]]), **{name: packed(*cols)}))
-                if out:
-                    yield as_batch(out)
+                    out.setdefault(int(to[part[0]]), {})[name] = packed(*cols)
+            yield as_batch([as_row(k, **v) for k, v in out.items()])
 
         for batch in batches:
             for got in entries_of(batch, sketch):

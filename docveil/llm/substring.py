@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, mix, raw_column, runs, spread, table, word_hashes
-from .repeats import Counter, n_buckets, receive, send, sum_chunks
+from .common import by_bytes, mix, raw_column, runs, spread, table, word_hashes
+from .repeats import ROW, Counter, as_batch, as_row, n_buckets, packed, receive, send, sum_chunks, unpacked
 
 BITS = 18
 
@@ -64,49 +64,74 @@ class Windows:
         return (low[self.at] & np.uint64((1 << 40) - 1)).astype(np.int64), grams
 
 
-def _with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def _with_key(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
+    """id, text, key of each row and, if asked for, all other columns as one."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
+    own = [F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key")]
+    return docs.select(*own, *([F.struct(*rest).alias("row")] if carry and rest else []))
 
 
 def repeated_windows(docs: DataFrame, length: int, k: int, prefixes: tuple[int, ...], group_rows: int) -> DataFrame:
-    """key, starts (array of int, words): where the repeated windows of each row start; docs: id, text, key."""
+    """key, places (32-bit words): where the repeated windows of each row start; docs: id, text, key."""
     partitions, buckets = n_buckets(docs)
     slice_bytes = 6 << 20
 
-    def chosen(big, counter):
+    def chosen(big, _):
         for batch in by_bytes(big, "text", slice_bytes):
             w = Windows(raw_column(batch, "text"), length, k)
-            for lane, p in enumerate(prefixes):
-                counter.add(runs(w.words, p, seed=2)[w.at], lane)
             at, grams = w.anchors()
             new = np.flatnonzero(np.diff(at, prepend=-1))
             at, of = at[new], w.of[new]
             yield grams[at], batch.column("key").to_numpy().view(np.uint64)[of], (at - w.first[of]).astype(np.uint64), mix(grams[at])
 
     def to_texts(key, own, extra):
-        """One row for each text: its places as bytes."""
-        order = np.lexsort((extra, own))
-        own, extra = own[order], extra[order]
-        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-        ends = np.append(edges[1:], len(own)) if len(edges) else edges
-        yield pa.RecordBatch.from_arrays([pa.array(own[edges].view(np.int64)), pa.array([extra[a:b].astype("<u4").tobytes() for a, b in zip(edges.tolist(), ends.tolist(), strict=True)], pa.binary())], ["key", "places"])
-
-    rows = docs.select("key", "text")
-    sieve = cut(send(rows, chosen, buckets, counter=lambda: Counter(BITS, len(prefixes)), by_id=False))
-    counts = Counter.collected(sum_chunks(sieve.filter("chunk is not null"), partitions), BITS, len(prefixes))
+        """Entries dealt out by text, packed."""
+        to = (own % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, own, extra = to[order], own[order], extra[order]
+        edges = np.flatnonzero(np.diff(to, prepend=-1))
+        out = [(int(to[a]), packed(own[a:b], extra[a:b])) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(to)], strict=True)] if len(to) else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "entries"])
+
+    def by_text(batches):
+        """One row for each text of this task: its places as bytes."""
+        held = [unpacked(e, 2) for batch in batches for e in batch.column("entries").to_pylist()]
+        if held:
+            own, extra = np.concatenate(held, axis=1)
+            order = np.lexsort((extra, own))
+            own, extra = own[order], extra[order]
+            edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            ends = np.append(edges[1:], len(own))
+            for i in range(0, len(edges), 10_000):
+                a, b = edges[i : i + 10_000], ends[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(own[a].view(np.int64)), pa.array([extra[x:y].astype("<u4").tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["key", "places"])
+
+    def gathered(sent):
+        live = receive(sent, partitions, to_texts, "bucket int, entries binary", by_id=False)
+        return live.repartition(partitions, "bucket").mapInArrow(by_text, "key bigint, places binary")
+
+    def counted(batches):
+        counter = Counter(BITS, len(prefixes))
+        for big in batches:
+            for batch in by_bytes(big, "text", slice_bytes):
+                w = Windows(raw_column(batch, "text"), length, k)
+                for lane, p in enumerate(prefixes):
+                    counter.add(runs(w.words, p, seed=2)[w.at], lane)
+        yield from ([as_batch([as_row(0, chunk=c, counts=x.astype("<i8").tobytes()) for c, x in counter.chunks()])] if counter.counts.any() else [])
+
+    counts = Counter.collected(sum_chunks(docs.select("text").mapInArrow(counted, ROW), partitions), BITS, len(prefixes))
     few = docs.sparkSession.sparkContext.broadcast(counts <= group_rows)
-    places = receive(sieve.filter("chunk is null"), partitions, to_texts, "key bigint, places binary", by_id=False)
-    places = places.groupBy("key").agg(F.collect_list("places").alias("places"))
-    left = docs.select("key", "text").join(places, "key")
+    places = gathered(send(docs.select("key", "text"), chosen, buckets, by_id=False))
+    # all columns, as in the join that follows: so both read one exchange of the texts
+    left = docs.join(places, "key").select(*docs.columns, "places")
 
     def suffixes(big, _):
         for batch in by_bytes(big, "text", slice_bytes):
             w = Windows(raw_column(batch, "text"), length, k)
             at, _ = w.anchors()
             live = np.zeros(len(w.words) + 1, dtype=bool)
-            for first, blobs in zip(w.first.tolist(), batch.column("places").to_pylist(), strict=True):
-                for x in blobs:
-                    live[first + np.frombuffer(x, dtype="<u4").astype(np.int64)] = True
+            for first, blob in zip(w.first.tolist(), batch.column("places").to_pylist(), strict=True):
+                live[first + np.frombuffer(blob, dtype="<u4").astype(np.int64)] = True
             keep = live[at]
             start, of = w.at[keep], w.of[keep]
             path = runs(w.words, length, seed=3)[start] if len(start) else np.zeros(0, np.uint64)
@@ -117,14 +142,14 @@ def repeated_windows(docs: DataFrame, length: int, k: int, prefixes: tuple[int,
                 home[ok] = short[ok]
             yield path, batch.column("key").to_numpy().view(np.uint64)[of], (start - w.first[of]).astype(np.uint64), mix(home)
 
-    found = receive(send(left, suffixes, buckets, by_id=False), partitions, to_texts, "key bigint, places binary", by_id=False)
-    return cut(found).groupBy("key").agg(F.collect_list("places").alias("places"))
+    return gathered(send(left, suffixes, buckets, by_id=False))
 
 
-def without_repeats(docs: DataFrame, length: int = 35, k: int = 12, prefixes: tuple[int, ...] = (4, 12), group_rows: int = 50_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 35, k: int = 12, prefixes: tuple[int, ...] = (4, 12), group_rows: int = 50_000, doc_id: str = "doc_id", text: str = "text", carry: bool = False, as_it_was: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text, words joined by one space), spans (maximal repeats: first word, number of
-    words), row (all columns of docs as they were)."""
-    rows = _with_key(docs, doc_id, text)
+    words) and, with carry, row (all other columns). as_it_was: kept is the text itself where nothing is removed."""
+    rows = _with_key(docs, doc_id, text, carry)
+    held = ["row"] * ("row" in rows.columns)
     kind = rows.schema["id"].dataType.simpleString()
     places = repeated_windows(rows, length, k, prefixes, group_rows)
 
@@ -132,13 +157,13 @@ def without_repeats(docs: DataFrame, length: int = 35, k: int = 12, prefixes: tu
         for big in batches:
             for batch in by_bytes(big, "text"):
                 out = []
-                for t, blobs in zip(raw_column(batch, "text"), batch.column("places").to_pylist(), strict=True):
+                for t, blob in zip(raw_column(batch, "text"), batch.column("places").to_pylist(), strict=True):
                     words = t.split()
-                    if not blobs:
-                        out.append((len(words), 0, b" ".join(words), []))
+                    if not blob:
+                        out.append((len(words), 0, t if as_it_was else b" ".join(words), []))
                         continue
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.frombuffer(b"".join(blobs), dtype="<u4").astype(np.int64)
+                    at = np.frombuffer(blob, dtype="<u4").astype(np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + length, -1)
                     gone = np.cumsum(edge)[:-1] > 0
@@ -147,10 +172,11 @@ def without_repeats(docs: DataFrame, length: int = 35, k: int = 12, prefixes: tu
                     out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), spans))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 4
                 span = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], span)], ["id", "row", "n_words", "n_removed", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in held), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], span)], ["id", *held, "n_words", "n_removed", "kept", "spans"])
 
-    both = rows.join(places, "key", "left").select("id", "text", "row", "places")
-    return both.mapInArrow(run, f"id {kind}, row {rows.schema['row'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,words:int>>").withColumnRenamed("id", doc_id)
+    both = rows.join(places, "key", "left").select(*rows.columns, "places")
+    fields = "".join(f"row {rows.schema[c].dataType.simpleString()}, " for c in held)
+    return both.mapInArrow(run, f"id {kind}, {fields}n_words bigint, n_removed bigint, kept string, spans array<struct<first:int,words:int>>").withColumnRenamed("id", doc_id)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
