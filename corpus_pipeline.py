@@ -50,9 +50,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes words in repeated windows of 35 words out of the texts; a text with nothing to remove stays as it is."""
-    out = without_repeats(docs)
-    new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    columns = [{"text": new, "n_chars": F.char_length(new).cast("long")}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    out = without_repeats(docs, carry=True, as_it_was=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    columns = [(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     return out.select(*columns)
 
 
