@@ -153,11 +153,15 @@ def receive(sent: DataFrame, partitions: int, finish, schema: str, by_id: bool =
     """The reduce side: finish(key, id, extra) gives batches from all entries whose key occurs more than once (by_id: with several ids)."""
 
     def run(batches):
-        held = []
+        held, known, n = [], [], 0
         for batch in batches:
-            for known in batch.column("known").to_pylist():
-                if known:
-                    yield from finish(*unpacked(known, 3))
+            for x in batch.column("known").to_pylist():
+                if x:
+                    known.append(unpacked(x, 3))
+                    n += known[-1].shape[1]
+                    if n >= 1_000_000:
+                        yield from finish(*np.concatenate(known, axis=1))
+                        known, n = [], 0
             held += [unpacked(e, 4) for e in batch.column("entries").to_pylist() if e]
         if held:
             key, own, extra, mark = np.concatenate(held, axis=1)
@@ -167,6 +171,8 @@ def receive(sent: DataFrame, partitions: int, finish, schema: str, by_id: bool =
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             marked = np.repeat(np.maximum.reduceat(mark, starts), np.diff(starts, append=len(key))) > 0
             live = marked | _distinct(key, own, by_id)
-            yield from finish(key[live], own[live], extra[live])
+            known.append(np.stack([key[live], own[live], extra[live]]))
+        if known:
+            yield from finish(*np.concatenate(known, axis=1))
 
     return sent.select("bucket", "entries", "known").repartition(partitions, "bucket").mapInArrow(run, schema)

@@ -86,7 +86,7 @@ def repeated_windows(docs: DataFrame, length: int, k: int, prefixes: tuple[int,
 
     def to_texts(key, own, extra):
         """Entries dealt out by text, packed."""
-        to = (own % np.uint64(buckets)).astype(np.int64)
+        to = (own % np.uint64(2 * partitions)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         to, own, extra = to[order], own[order], extra[order]
         edges = np.flatnonzero(np.diff(to, prepend=-1))
