@@ -14,6 +14,7 @@ once each. Columns other than the id and the text are not read; an empty table g
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -96,8 +97,19 @@ class Packer:
                     now, room = [], min(self.window, 1 << (left.bit_length() - 1)) if left else 0
 
 
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+
+
+def white_pieces(text: bytes) -> list[bytes]:
+    """The text cut at white space, and before a lone stop or comma after a word, where the file's pattern cuts as well.
+
+    A-Z become a-z, as in the file's normaliser, unless a special string, which that doesn't touch, may be there.
+    """
+    return _STOP.sub(rb" \1", text.lower()).split() if b"<|" not in text else text.split()
+
+
 def word_ids(path: str):
-    """Ids of byte strings by a tokenizers file that drops white space and never joins over it."""
+    """Ids of byte strings by a tokenizers file that lower-cases, drops white space and never joins over it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -135,7 +147,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, most_o
         for big in batches:
             for batch in by_bytes(big, "text", slice_bytes):
                 id_type = batch.column("id").type
-                words = [t.split() for t in raw_column(batch, "text")]
+                words = [white_pieces(t) for t in raw_column(batch, "text")]
                 n = np.array([len(x) for x in words], dtype=np.int64)
                 ids, lens = memo.ids([w for x in words for w in x])
                 ends = np.cumsum(sums(lens, n))
