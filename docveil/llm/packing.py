@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, raw_column, table
-from .pieces import Ids, sums
+from .pieces import Ids, kept, sums
 
 
 class Packer:
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, most_o
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
-        memo = Ids(word_ids(path))
+        memo = kept(f"word ids {path}", lambda: Ids(word_ids(path), most=1_200_000))  # about 300 MB
         rows: list[tuple] = []
         sequence = [TaskContext.get().partitionId() << 40]
 

@@ -98,6 +98,17 @@ class Ids(dict):
         return np.array(self.flat, dtype=self.code)[spread(starts, lens)], lens
 
 
+_KEPT: dict[str, Ids] = {}
+
+
+def kept(name: str, make) -> Ids:
+    """What make() gives, one for all tasks of a worker process that ask by the same name; another name takes its place."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Sums of consecutive groups with the given lengths, which may be 0."""
     total = np.concatenate([[0], np.cumsum(values)])
