@@ -14,6 +14,7 @@ give a row each; extra columns are ignored. Broadcast: the weights, (2 ** BITS)
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, held_out, raw_column, spread, table
-from .pieces import Ids, sums
+from .pieces import Ids, kept, sums
 
 BITS, SEGMENT = 16, 64
 
@@ -137,7 +138,7 @@ class Model:
         return np.clip(out / np.maximum(has, 1)[:, None], 0, 1) * (has > 0)[:, None]
 
 
-def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float = 0.3, decay: float = 1e-4) -> Model:
+def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float = 0.3, decay: float = 1e-4, group_words: int = 100_000) -> Model:
     """Adagrad on the mean log-likelihood of a word, with a quadratic penalty."""
     labels = sorted(set(langs))
     k = len(labels)
@@ -149,22 +150,30 @@ def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float =
         return Model(labels, weights, transitions)
     lens = np.array([len(w) for w in words], dtype=np.int64)
     types: dict[bytes, int] = {}
-    at = np.fromiter((types.setdefault(x, len(types)) for w in words for x in w), dtype=np.int64)
+    at = np.fromiter((types.setdefault(x, len(types)) for w in words for x in w), dtype=np.int32)
+    del words
     features = [word_features(w.decode("utf-8", "replace")) for w in types]
     f_lens = np.array([len(f) for f in features], dtype=np.int64)
-    flat = np.array([i for f in features for i in f], dtype=np.int64)
-    y = np.repeat(gold, lens)
+    flat = np.array([i for f in features for i in f], dtype=np.int32)
+    n_types = len(types)
+    del features, types
     seen_w, seen_t = np.full_like(weights, 1e-8), np.full_like(transitions, 1e-8)
-    n = len(at)
+    n, ends = len(at), np.cumsum(lens)
+    # texts in groups of about group_words words, one after the other in each round, so that memory has a bound
+    edges = np.flatnonzero(np.diff(ends // group_words, prepend=-1))
+    groups = list(zip(edges.tolist(), [*edges[1:].tolist(), len(lens)], strict=True))
     for _ in range(rounds):
         emissions = np.stack([sums(weights[flat, j], f_lens) for j in range(k)], axis=1)
-        chain = Chain(emissions[at], lens, transitions)
-        error = -chain.marginals()
-        error[np.arange(n), y] += 1
-        by_type = np.stack([np.bincount(at, error[:, j], minlength=len(types)) for j in range(k)], axis=1)
-        spread_out = np.repeat(by_type, f_lens, axis=0)
-        g_w = np.stack([np.bincount(flat, spread_out[:, j], minlength=1 << BITS) for j in range(k)], axis=1) / n - decay * weights
-        g_t = (np.diag([float((lens[gold == j] - 1).sum()) for j in range(k)]) - chain.pairs()) / n - decay * transitions
+        by_type, pairs = np.zeros((n_types, k)), np.zeros((k, k))
+        for a, b in groups:
+            own, own_lens = at[ends[a] - lens[a] : ends[b - 1]], lens[a:b]
+            chain = Chain(emissions[own], own_lens, transitions)
+            error = -chain.marginals()
+            error[np.arange(len(own)), np.repeat(gold[a:b], own_lens)] += 1
+            by_type += np.stack([np.bincount(own, error[:, j], minlength=n_types) for j in range(k)], axis=1)
+            pairs += chain.pairs()
+        g_w = np.stack([np.bincount(flat, np.repeat(by_type[:, j], f_lens), minlength=1 << BITS) for j in range(k)], axis=1) / n - decay * weights
+        g_t = (np.diag([float((lens[gold == j] - 1).sum()) for j in range(k)]) - pairs) / n - decay * transitions
         seen_w += g_w * g_w
         seen_t += g_t * g_t
         weights += rate * g_w / np.sqrt(seen_w)
@@ -184,11 +193,11 @@ def language_id(docs: DataFrame, sample_docs: int = 1200, rounds: int = 30, doc_
         model = learn([bytes(r["t"]) for r in drawn], [r["l"] for r in drawn], rounds)
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.transitions))
     base = docs.drop("held_out", "lang_pred", "score")
-    names = base.columns
+    names, name = base.columns, uuid.uuid4().hex
 
     def run(batches):
         m = Model(*sent.value)
-        memo = Ids(m.emissions, code="f", most=400_000)
+        memo = kept(name, lambda: Ids(m.emissions, code="f"))
         for big in batches:
             for batch in by_bytes(big, text, 2 << 20):
                 texts = raw_column(batch, text)

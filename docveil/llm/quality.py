@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, held_out, raw_column, table
-from .pieces import Ids, sums
+from .pieces import Ids, kept, sums
 from .toxicity import labelled
 
 BITS = 14
@@ -114,12 +114,13 @@ def learn(texts: list[bytes], ratings: list, rounds: int = 400, rate: float = 0.
     if k < 1:
         return Model(grades, np.zeros(0), weights)
     y = np.array([grades.index(r) for r in ratings])
-    row, feature, value = vectors(Ids(word_facts, code="i"), texts)
-    order = np.argsort(row, kind="stable")
-    row, feature, value = row[order], feature[order], value[order]
-    key, at = np.unique(row * (1 << BITS) + feature, return_inverse=True)
-    value = np.bincount(at, value)
-    row, feature = key >> BITS, key & ((1 << BITS) - 1)
+    memo, parts = Ids(word_facts, code="i", most=200_000), []
+    for i in range(0, len(texts), 100):  # each text's equal features in one, before the next ones are read
+        row, feature, value = vectors(memo, texts[i : i + 100])
+        key, at = np.unique(row * (1 << BITS) + feature, return_inverse=True)
+        parts.append(((key >> BITS) + i, key & ((1 << BITS) - 1), np.bincount(at, value)))
+    del memo
+    row, feature, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     n = len(y)
     share = np.clip([(y <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
@@ -154,7 +155,7 @@ def quality(docs: DataFrame, model: Model, good_grade=None, doc_id: str = "doc_i
 
     def run(batches):
         m = Model(*sent.value)
-        memo = Ids(word_facts, code="i", most=400_000)
+        memo = kept("word facts", lambda: Ids(word_facts, code="i"))
         for big in batches:
             for batch in by_bytes(big, text, 4 << 20):
                 texts = raw_column(batch, text)

@@ -17,6 +17,7 @@ are not 0, at most `most_features`.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, held_out, raw_column, table
-from .pieces import Ids
+from .pieces import Ids, kept
 
 BITS = 22
 #: Names of groups by kind; within a line, a name may stand for any other. Lower case, as word forms of four languages.
@@ -83,12 +84,12 @@ def _rows(sets: list[set[int]], index: dict[int, int]) -> tuple[np.ndarray, np.n
 
 
 def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float = 1.0, rounds: int = 300, least_docs: int = 4, z: float = 3.0, most_features: int = 20_000) -> Model:
-    sets = [features(t) for t in texts]
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(-60.0 if not len(y) or y.max() == 0 else 60.0, {})
-    flat = np.fromiter((f for s in sets for f in s), dtype=np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    own = [np.fromiter(features(t), dtype=np.int32) for t in texts]
+    flat, row = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own])
+    del own
     names, at = np.unique(flat, return_inverse=True)
     n1, n0 = y.sum(), (1 - y).sum()
     c1 = np.bincount(at, y[row], minlength=len(names))
@@ -103,7 +104,13 @@ def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float
     for a, b in pairs:  # names of groups take part whatever their strength
         for f in a ^ b:
             index.setdefault(f, len(index))
-    x, r = _rows(sets, index)
+    column = np.full(len(names), -1)
+    for f, i in index.items():
+        j = np.searchsorted(names, f)
+        if j < len(names) and names[j] == f:
+            column[j] = i
+    x, r = column[at], row
+    x, r = x[x >= 0], r[x >= 0]
     plus, p_row = _rows([a - b for a, b in pairs], index)
     minus, m_row = _rows([b - a for a, b in pairs], index)
     k, n, n_pairs = len(index), len(y), max(1, len(pairs))
@@ -137,11 +144,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample_docs: int, d
 def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    sent, name = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights)), uuid.uuid4().hex
 
     def run(batches):
         m = Model(*sent.value)
-        memo = Ids(m.active)
+        memo = kept(name, lambda: Ids(m.active))
         names = np.array(sorted(m.weights), dtype=np.int64)
         values = np.array([m.weights[i] for i in names.tolist()])
         for big in batches:
