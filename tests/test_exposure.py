@@ -113,6 +113,37 @@ def test_removed_values_are_gone(spark, style):
     assert held.filter("output <> text").count() == 0
 
 
+def test_whole_queries(spark, tmp_path):
+    """The registered queries over all detectors and names, against plain Python over values found by hand."""
+    from docveil.plans import queries
+
+    text = "Address: 742 Evergreen Terrace, Springfield, OR 97477\nid 234123412346\n+91 91761 31104 and a@b.cd\nDr. Ananya Sharma"
+    want = [("EMAIL", "a@b.cd"), ("ADDRESS", "742 Evergreen Terrace, Springfield, OR 97477"), ("PHONE", "+91 91761 31104"), ("AADHAAR", "234123412346"), ("PERSON_NAME", "Dr. Ananya Sharma")]
+    texts(spark, text, "nothing").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    action = {i: {t: (fixed.POLICY[t].split()[k], v) for t, v in want} for k, i in enumerate(fixed.INTENTS)}
+    for intent in fixed.INTENTS:
+        got = {r["id"]: (r["type"], r["decision"]) for r in run(f"whole_decide_{intent}")}
+        assert got == {f"f_{n + 1:02d}": (t, action[intent][t][0]) for n, (t, _) in enumerate(want)}
+    assert {(r["type"], r["intent"]): r["n_findings"] for r in run("whole_decide_all")} == {(t, i): 1 for t, _ in want for i in fixed.INTENTS}
+    for style in ("token", "blackbox"):
+        out = text
+        for t, v in want:
+            if action["public_sharing"][t][0] == "REMOVE":
+                out = out.replace(v, f"[{fixed.TYPES[t][0]}]" if style == "token" else "█" * len(v))
+        assert "234123412346" not in out
+        assert {r["doc_id"]: r["output_sha256"] for r in run(f"whole_compile_{style}")} == {k: hashlib.sha256(x.encode()).hexdigest() for k, x in enumerate([out, "nothing"])}
+    due = {t: a == "REMOVE" for t, (a, _) in action["public_sharing"].items()}
+    assert {r["type"]: (r["removed"], r["evidence"]) for r in run("whole_verify")} == {t: (True, True) if d else (None, None) for t, d in due.items()}
+    assert {r["id"]: r["removed"] for r in run("whole_verify_relation")} == {f"f_{n + 1:02d}": False if due[t] else None for n, (t, _) in enumerate(want)}
+    assert {r["type"]: r["n_findings"] for r in run("whole_report_by_type")} == {t: 1 for t, _ in want}
+    assert [r["n_findings"] for r in run("whole_report_cube") if r["level"] == 7] == [5]
+    over = {r["id"]: r["decision"] for r in run("whole_overrides")}
+    assert len(over) == 5 and over["f_01"] == "KEEP"
+    for name in ("text_findings", "overrides_legal_hold", "judge_payload", "judge_clamp"):
+        assert {r["id"] for r in run(f"whole_{name}")} == {f"f_{n + 1:02d}" for n in range(5)}
+
+
 def test_terms(spark):
     docs = texts(spark, "project Falcon", "nothing")
     own = spark.createDataFrame([(0, 0, " Falcon "), (0, 1, ""), (1, 0, "Falcon")], "doc_id long, term_no int, term string")
