@@ -13,7 +13,8 @@ distinct 64-bit hashes of the n-grams of a text; fewer than n words make one n-g
    component is left out. Pairs must pass the length filter and the positional filter, pairs tried before are left
    out, and each remaining pair is verified once, after the suffix filter, against the whole sets.
 
-Components of all links found are those of all links. Defined cases: null and empty texts, and texts without words,
+Components of all links found are those of all links. For the number of links, every pair of nodes of a component, which
+holds all its links, is compared once, in blocks that return counts (links_of). Defined cases: null and empty texts, and texts without words,
 have an empty set, link with nothing and are their own component. Rows that repeat a doc_id are taken as one more
 document with that id. Extra columns are ignored; an empty table gives an empty result. A row with a
 null id links through copies of its text that have an id.
@@ -34,6 +35,8 @@ from .components import components
 from .repeats import Counter, n_buckets, receive, send, sum_chunks
 
 COUNT_BITS = 20
+#: nodes and bytes of text of a block, about; columns of n-grams at once
+BLOCK, BLOCK_BYTES, COLUMNS = 2048, 16 << 20, 1024
 
 
 def need(size_sum, percent: int):
@@ -182,13 +185,78 @@ def _as_pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
     return joined.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams each set of `left` (places) has in common with each of `right`."""
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [a, a + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - a)), dtype=np.float32)
+        held[row[x:y], column[x:y] - a] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def links_of(linked: DataFrame, nodes: DataFrame, node_texts: DataFrame, n: int, percent: int, partitions: int, block: int = BLOCK) -> DataFrame:
+    """node, links: the rows of other nodes that a node links with; linked: node, component; nodes: node, copies."""
+    own = linked.join(node_texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    sizes = own.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("parts"))
+    placed = linked.join(sizes, "component").join(nodes.select("node", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = each.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies").join(node_texts, "node")
+    dealt = pairs.repartition(partitions, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def counted(key, rows) -> tuple[np.ndarray, np.ndarray]:
+        nodes_, blocks, copies = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        sets, _ = _sets([r[3] for r in rows], n)
+        lens = np.array([len(x) for x in sets], dtype=np.int64)
+        left, right = np.flatnonzero(blocks == key[1]), np.flatnonzero(blocks == key[2])
+        links = np.zeros(len(rows), dtype=np.int64)
+        both = overlaps(sets, left, right)
+        for a in range(0, len(left), 256):
+            at = left[a : a + 256]
+            similar = both[a : a + 256] >= need(lens[at][:, None] + lens[right][None, :], percent)
+            similar &= at[:, None] != right[None, :]
+            links[at] += similar @ copies[right]
+            if key[1] != key[2]:
+                links[right] += copies[at] @ similar
+        return nodes_, links
+
+    def run(batches):
+        now, held = None, []
+
+        def ended():
+            nodes_, links = counted(now, held)
+            return pa.RecordBatch.from_arrays([pa.array(nodes_), pa.array(links)], ["node", "links"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "node", "block", "copies")]
+            for component, i, j, *row, text in zip(*columns, raw_column(batch, "text"), strict=True):
+                if now != (component, i, j):
+                    if held:
+                        yield ended()
+                    now, held = (component, i, j), []
+                held.append((*row, text))
+        if held:
+            yield ended()
+
+    counts = dealt.select("component", "i", "j", "node", "block", "copies", "text").mapInArrow(run, "node bigint, links bigint")
+    return counts.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", links_too: bool = False, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row and, with links_too, n_links: the
+    other rows that it links with, copies included."""
     rows, rank = documents_and_counts(docs, n, doc_id, text, percent)
     live = cut(postings(docs, rank, n, percent, text))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id")))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     # texts of the nodes that have postings, once each
-    wanted = live.select("node").distinct().join(nodes, "node")
+    wanted = live.select("node").distinct().join(nodes.select("node", "id"), "node")
     by_id = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id")
     node_texts = cut(_only_own(by_id))
     # pivot round; an edited copy's own n-grams are rare and come first, so the node that has an n-gram earliest is the
@@ -208,9 +276,14 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "do
     linked = components(links.unionByName(last)).withColumnRenamed("id", "node")
     named = cut(nodes.join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
     least = cut(named.groupBy("component").agg(F.min("id").alias("component_id")))
-    of_node = cut(named.join(least, "component").select("node", "component_id"))
-    full = rows.filter("n_shingles > 0").join(of_node, "node", "left").select("id", "n_shingles", "component_id")
-    none = rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    of_node = named.join(least, "component").select("node", "component_id")
+    if links_too:
+        own = links_of(linked, nodes, node_texts, n, percent, n_buckets(docs)[0], block)
+        of_node = of_node.join(nodes.select("node", "copies"), "node").join(own, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    of_node = cut(of_node)
+    more = ["n_links"] * links_too
+    full = rows.filter("n_shingles > 0").join(of_node, "node", "left").select("id", "n_shingles", "component_id", *more)
+    none = rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in more])
     return full.unionByName(none).withColumnRenamed("id", doc_id)
 
 
@@ -229,3 +302,8 @@ def _only_own(rows: DataFrame) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with its number of links: the columns of op1_ngram_jaccard_join, which its SQL fixes, and n_links."""
+    return ngram_join(table(spark, sf_dir, "documents"), links_too=True)

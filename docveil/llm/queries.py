@@ -6,7 +6,7 @@ from .byte_bpe import op9_byte_bpe
 from .fingerprint import op5_fingerprint
 from .language_id import op3_language_id
 from .near_vectors import op2_embedding_near_dedup
-from .ngram_join import op1_ngram_jaccard_join
+from .ngram_join import op1_ngram_jaccard_join, op1_ngram_jaccard_links
 from .packing import op8_packing
 from .quality import op10_quality
 from .substring import op6_substring_dedup
@@ -15,6 +15,7 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,

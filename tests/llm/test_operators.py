@@ -76,6 +76,21 @@ def test_ngram_join(docs):
     assert got == want and len(links) > 15
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_ngram_join_counts_links(spark, block):
+    """Links inside a group of near copies and to exact copies are counted, in one block or in many."""
+    base = passage(7, 60)
+    near = [" ".join([*base.split()[:k], f"new{k}", *base.split()[k + 1 :]]) for k in range(5, 55, 5)]
+    rows = list(enumerate([base, base, *near, near[0], "alone in the world", None, "", "x y", "X  y"]))
+    sets = {}
+    for i, t in rows:
+        w = words(t or "", lower=True)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    want = {i: sum(i != j and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), links_too=True, block=block)
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and max(want.values()) > 10
+
+
 def test_substring_dedup(docs):
     own = {i: words(t) for i, t in plain(docs).items()}
     seen = Counter(tuple(w[k : k + 35]) for w in own.values() for k in range(len(w) - 34))
