@@ -4,6 +4,10 @@ Every word has a language; a word's features are its affixes, its character trig
 neighbouring words are tied by learned transitions, so words of a code-switched text are labelled in runs. A text's
 language is the one with the largest mean of the words' marginals (forward-backward), its score that mean.
 
+Words are cut at ASCII white space; one of more than LONGEST letters, as of scripts without spaces, takes several places
+in the chain, each of LONGEST letters and beginning with the last two of the place before, so that every letter and every
+trigram is read. Such places are labelled like words, so a switch of language within a long run is seen.
+
 Learning: the conditional likelihood of the document's language at every word, by gradients from the same
 forward-backward, on at most `sample_docs` labelled documents, drawn by the hash of their id. Predictions read the text
 alone, whole: long texts are cut into segments whose transfer matrices are chained, which is exact.
@@ -14,6 +18,7 @@ give a row each; extra columns are ignored. Broadcast: the weights, (2 ** BITS)
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -25,12 +30,32 @@ from pyspark.sql import functions as F
 from .common import by_bytes, held_out, raw_column, spread, table
 from .pieces import Ids, kept, sums
 
-BITS, SEGMENT = 16, 64
+BITS, SEGMENT, LONGEST = 16, 64, 40
+_LONG = re.compile(rb"[^\x20\x09-\x0D]{%d}" % (LONGEST + 1))
+
+
+def letters(word: str) -> str:
+    return "".join(c for c in word.lower() if c.isalpha())
+
+
+def chain_words(text: bytes) -> list[bytes]:
+    """The words of a text; those of more than LONGEST letters as runs of LONGEST that share two letters with the next."""
+    words = text.split()
+    if not _LONG.search(text):
+        return words
+    out = []
+    for word in words:
+        own = letters(word.decode("utf-8", "replace")) if len(word) > LONGEST else ""
+        if len(own) > LONGEST:
+            out += [own[i : i + LONGEST].encode("utf-8") for i in range(0, len(own) - 2, LONGEST - 2)]
+        else:
+            out.append(word)
+    return out
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of the word's letters; none if it has no letter."""
-    w = "".join(c for c in word.lower() if c.isalpha())[:40]
+    """Hashed features of the word's letters, of which chain_words() leaves at most LONGEST; none if it has no letter."""
+    w = letters(word)
     if not w:
         return []
     edged = f"^{w}$"
@@ -124,7 +149,7 @@ class Model:
 
     def scores(self, memo: Ids, texts: list[bytes]) -> np.ndarray:
         """Means of the marginals of words with letters, a row per text; zeros if there is none."""
-        words = [t.split() for t in texts]
+        words = [chain_words(t) for t in texts]
         lens = np.array([len(w) for w in words], dtype=np.int64)
         values, _ = memo.ids([x for w in words for x in w])
         values = values.reshape(-1, len(self.labels) + 1)
@@ -143,7 +168,7 @@ def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float =
     labels = sorted(set(langs))
     k = len(labels)
     weights, transitions = np.zeros((1 << BITS, k)), np.where(np.eye(k) > 0, 2.0, 0.0)
-    words = [t.split() for t in texts]
+    words = [chain_words(t) for t in texts]
     keep = [i for i, w in enumerate(words) if w]
     words, gold = [words[i] for i in keep], np.array([labels.index(langs[i]) for i in keep])
     if not words:

@@ -65,6 +65,19 @@ def roots(ids, edges):
     return {i: root(i) for i in ids}
 
 
+def test_language_id_reads_long_words_whole():
+    """Text without spaces: every letter and trigram is read, and a later switch of language changes the result."""
+    own = "".join(chr(0x4E00 + k) for k in range(500))
+    runs = language_id.chain_words(f"a {own} b".encode())
+    assert runs[0] == b"a" and runs[-1] == b"b" and max(len(x.decode()) for x in runs) == language_id.LONGEST
+    assert [r.decode()[i : i + 3] for r in runs[1:-1] for i in range(len(r.decode()) - 2)] == [own[i : i + 3] for i in range(498)]
+    assert language_id.chain_words(("x" * 40 + " " + "é" * 40 + " -" + "1" * 90).encode()) == [b"x" * 40, ("é" * 40).encode(), b"-" + b"1" * 90]
+    model = language_id.learn([b"the cat and the dog are here " * 4, "der hund und die katze sind hier ".encode() * 4] * 4, ["en", "de"] * 4)
+    one, other = b"thecatandthedogarehere", b"derhundunddiekatzesindhier"
+    score = lambda t: dict(zip(model.labels, model.scores(pieces.Ids(model.emissions, code="f"), [t])[0].tolist(), strict=True))
+    assert score(one * 10)["en"] > 0.8 and score(one * 2 + other * 20)["de"] > 0.5
+
+
 def test_ngram_join(docs):
     sets = {}
     for i, t in plain(docs).items():
