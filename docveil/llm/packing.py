@@ -98,14 +98,21 @@ class Packer:
 
 
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+#: a capital before other than ASCII: a mark there may compose with the capital or only with its small letter
+_MARKED = re.compile(rb"[A-Z][\x80-\xff]")
+_UNMARKED = re.compile(rb"[A-Z]+(?![\x80-\xff])")
 
 
 def white_pieces(text: bytes) -> list[bytes]:
     """The text cut at white space, and before a lone stop or comma after a word, where the file's pattern cuts as well.
 
-    A-Z become a-z, as in the file's normaliser, unless a special string, which that doesn't touch, may be there.
+    A-Z become a-z, as in the file's normaliser, unless a special string, which that doesn't touch, may be there, or
+    a mark may follow, which the normaliser composes first.
     """
-    return _STOP.sub(rb" \1", text.lower()).split() if b"<|" not in text else text.split()
+    if b"<|" in text:
+        return text.split()
+    low = text.lower() if text.isascii() or not _MARKED.search(text) else _UNMARKED.sub(lambda m: m[0].lower(), text)
+    return _STOP.sub(rb" \1", low).split()
 
 
 def word_ids(path: str):

@@ -78,6 +78,15 @@ def test_language_id_reads_long_words_whole():
     assert score(one * 10)["en"] > 0.8 and score(one * 2 + other * 20)["de"] > 0.5
 
 
+def test_white_pieces_leave_capitals_with_marks():
+    """Letters that compose only when small: the pieces' ids are those of the whole text."""
+    encode = packing.word_ids(P.path("word_bpe_49k.json"))
+    for mark in ("H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "J\u0331\u030c", "E\u0301"):
+        for text in (mark, f"AB{mark}CD Of, THE {mark}. End\u00e9 \u00c9A. B"):
+            own = [i for ids in encode(packing.white_pieces(text.encode())) for i in ids]
+            assert own == encode([text.encode()])[0], text
+
+
 def test_ngram_join(docs):
     sets = {}
     for i, t in plain(docs).items():
