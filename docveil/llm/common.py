@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,23 +27,60 @@ def held_out(doc_id="doc_id"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only in local mode, where all share the machine's folders, may
+    it be unset, as in tests: then a temporary one takes its place."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="docveil-")
+        if held.isDefined():
+            at = held.get()
+        elif sc.master == "local" or sc.master.startswith("local["):
+            at = tempfile.mkdtemp(prefix="docveil-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage: the rows are written to the shared folder and read back from there."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/docveil-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written = at
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df._written)
+
+
+# ---- memory of a Python worker ----
+
+#: what a worker process keeps from task to task, by name
+KEPT: dict[str, object] = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def lean(but: str = "") -> None:
+    """Gives back what earlier operators' tasks left in this worker, all but what is kept by the name `but`."""
+    for name in [k for k in KEPT if k != but]:
+        del KEPT[name]
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def raw_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -50,9 +88,9 @@ def raw_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def by_bytes(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of the named column each, so that long texts don't pile up."""
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(name)).to_pylist()], dtype=np.int64)
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     if sizes.sum() <= most:
         yield batch
         return
@@ -104,34 +142,55 @@ def _powers(n: int, base: int) -> np.ndarray:
 _POW = [_powers(1 << 16, _P)]
 
 
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+#: bytes hashed at once, about; working memory is some 40 times as much
+_AT_ONCE = 1 << 20
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the start of each word; data ends with white space."""
+    inside = ~_SPACE[data]
+    edge = np.diff(inside.view(np.int8), prepend=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    lens = (ends - starts).astype(np.int32)
+    longest = int(lens.max())
+    if longest > len(_POW[0]):
+        _POW[0] = _powers(longest, _P)
+    # place of each byte in its word, so equal words get equal sums
+    at = np.flatnonzero(inside).astype(np.int32)
+    at -= np.repeat(starts.astype(np.int32), lens)
+    value = _BYTE[data[inside]]
+    value *= _POW[0][at]
+    first = np.cumsum(lens, dtype=np.int64) - lens
+    return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * np.uint64(_P)), starts
+
+
+def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Words are runs of bytes other than 0x20 and 0x09-0x0D.
 
-    Returns a 64-bit hash of each word of all texts, the number of words of each text, the place of each word in
-    the joined bytes (start and end) and those bytes.
+    Returns a 64-bit hash of each word of all texts and the number of words of each text.
     """
     joined = b" ".join(texts) + b" "
     if lower:
         joined = joined.lower()
     data = np.frombuffer(joined, dtype=np.uint8)
-    space = _SPACE[data]
-    inside = ~space
-    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    lens = ends - starts
-    hashes = np.zeros(len(starts), dtype=np.uint64)
-    if len(starts):
-        longest = int(lens.max())
-        if longest > len(_POW[0]):
-            _POW[0] = _powers(longest, _P)
-        # place of each byte in its word, so equal words get equal sums
-        at = np.arange(len(data), dtype=np.int64)[inside] - np.repeat(starts, lens)
-        value = _BYTE[data[inside]] * _POW[0][at]
-        first = np.cumsum(lens) - lens
-        hashes = mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * np.uint64(_P))
+    hashes, starts, a = [], [], 0
+    while a < len(data):
+        b, span = len(data), _AT_ONCE
+        while a + span < len(data):  # up to a white space, so that no word is cut
+            spaces = np.flatnonzero(_SPACE[data[a : a + span]])
+            if len(spaces):
+                b = a + int(spaces[-1]) + 1
+                break
+            span *= 2
+        own, at = _hashed(data[a:b])
+        hashes.append(own)
+        starts.append(at + a)
+        a = b
     text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    upto = np.searchsorted(starts, text_ends)
-    return hashes, np.diff(upto, prepend=0), starts, ends, joined
+    upto = np.searchsorted(np.concatenate(starts), text_ends)
+    return np.concatenate(hashes), np.diff(upto, prepend=0)
 
 
 def runs(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

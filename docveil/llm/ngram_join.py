@@ -46,7 +46,7 @@ def need(size_sum, percent: int):
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams text by text (not distinct), how many each text has, and the hash of each text's words."""
-    words, counts, *_ = word_hashes(texts, lower=True)
+    words, counts = word_hashes(texts, lower=True)
     ends = np.cumsum(counts)
     starts = ends - counts
     grams = runs(words, n)
@@ -123,7 +123,7 @@ def postings(docs: DataFrame, rank: np.ndarray, n: int, percent: int, text: str)
                     extra.append((np.uint64(size) << np.uint64(32)) | np.arange(p, dtype=np.uint64))
             if keys:
                 key = np.concatenate(keys)
-                yield key, np.concatenate(own), np.concatenate(extra), mix(key)
+                yield key, np.concatenate(own), np.concatenate(extra)
 
     def finish(key, own, extra):
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array((extra >> np.uint64(32)).astype(np.int64)), pa.array((extra & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["gram", "node", "size", "pos"])

@@ -12,7 +12,7 @@ from array import array
 
 import numpy as np
 
-from .common import spread
+from .common import KEPT, lean, spread
 
 MOST = 600_000
 #: Printable characters other than the space are white space to no library. Between two of them, a single space starts
@@ -98,15 +98,12 @@ class Ids(dict):
         return np.array(self.flat, dtype=self.code)[spread(starts, lens)], lens
 
 
-_KEPT: dict[str, Ids] = {}
-
-
 def kept(name: str, make) -> Ids:
     """What make() gives, one for all tasks of a worker process that ask by the same name; another name takes its place."""
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = make()
-    return _KEPT[name]
+    lean(but=name)
+    if name not in KEPT:
+        KEPT[name] = make()
+    return KEPT[name]
 
 
 def sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, mix
+
 ROW = "bucket int, entries binary, known binary, chunk int, counts binary"
 FIELDS = np.dtype("<u8")
 
@@ -87,25 +89,33 @@ def n_buckets(df: DataFrame, mb: int = 4) -> tuple[int, int]:
     return n, 4 * n
 
 
-def send(rows: DataFrame, entries_of, buckets: int, counter=None, by_id: bool = True, most: int = 1_500_000) -> DataFrame:
-    """The map side. entries_of(batch, counter) gives (key, id, extra, bucket hash) arrays, one batch after the other."""
+def send(rows: DataFrame, entries_of, buckets: int, counter=None, by_id: bool = True, most: int = 500_000) -> DataFrame:
+    """The map side. entries_of(batch, counter) gives (key, id, extra) arrays, one batch after the other. An entry goes with
+    the number of those like it that stayed behind."""
 
     def run(batches):
+        lean()
         held, n, sketch = [], 0, counter() if counter else None
 
         def flush():
-            key, own, extra, home = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((own, key))
-            key, own, extra, home = key[order], own[order], extra[order], home[order]
+            key, own, extra = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((own, key) if by_id else (extra, own, key))
+            key, own, extra = key[order], own[order], extra[order]
+            del order
             first = np.concatenate([[True], key[1:] != key[:-1]])
             repeats = _distinct(key, own, by_id)
-            # by id, copies of an entry say nothing; the first of them stays
-            other = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]) if by_id else np.ones(len(key), dtype=bool)
+            # copies of an entry (by id: whatever its extra) say nothing; the first of them stays
+            other = first.copy()
+            other[1:] |= own[1:] != own[:-1]
+            if not by_id:
+                other[1:] |= extra[1:] != extra[:-1]
             late = repeats & ~first & other
-            # a known key's first entry goes with a mark, so that all others of that key learn of it
-            own_bucket = (home % np.uint64(buckets)).astype(np.int64)
-            to = np.where(late, (own % np.uint64(buckets)).astype(np.int64), own_bucket)
-            mark = (repeats & first).astype(np.uint64)
+            # a known key's first entry goes with the number of the others, so that all other tasks' entries of that key learn of it
+            starts = np.flatnonzero(first)
+            more = np.zeros(len(key), dtype=np.uint64)
+            more[starts] = (np.diff(starts, append=len(key)) - 1) * repeats[starts]
+            to = np.where(late, own % np.uint64(buckets), mix(key) % np.uint64(buckets)).astype(np.int64)
             out: dict[int, dict[str, bytes]] = {}
             for name, sel in (("entries", first), ("known", late)):
                 at = np.flatnonzero(sel)
@@ -115,7 +125,7 @@ def send(rows: DataFrame, entries_of, buckets: int, counter=None, by_id: bool =
                 edges = np.flatnonzero(np.diff(to[at], prepend=-1))
                 for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
                     part = at[a:b]
-                    cols = (key[part], own[part], extra[part], mark[part]) if name == "entries" else (key[part], own[part], extra[part])
+                    cols = (key[part], own[part], extra[part], more[part]) if name == "entries" else (key[part], own[part], extra[part])
                     out.setdefault(int(to[part[0]]), {})[name] = packed(*cols)
             yield as_batch([as_row(k, **v) for k, v in out.items()])
 
@@ -126,7 +136,7 @@ def send(rows: DataFrame, entries_of, buckets: int, counter=None, by_id: bool =
                     n += len(got[0])
                 if n >= most:
                     yield from flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from flush()
         if sketch is not None:
@@ -149,28 +159,33 @@ def sum_chunks(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.select("chunk", "counts").repartition(partitions, "chunk").mapInArrow(run, "chunk int, counts binary")
 
 
-def receive(sent: DataFrame, partitions: int, finish, schema: str, by_id: bool = True) -> DataFrame:
-    """The reduce side: finish(key, id, extra) gives batches from all entries whose key occurs more than once (by_id: with several ids)."""
+def receive(sent: DataFrame, partitions: int, finish, schema: str, by_id: bool = True, often=None) -> DataFrame:
+    """The reduce side: finish(key, id, extra) gives batches from all entries whose key occurs more than once (by_id: with
+    several ids); often(key, count), if given, gives batches from all keys and their numbers of entries over all tasks."""
 
     def run(batches):
+        lean()
         held, known, n = [], [], 0
         for batch in batches:
             for x in batch.column("known").to_pylist():
                 if x:
                     known.append(unpacked(x, 3))
                     n += known[-1].shape[1]
-                    if n >= 1_000_000:
+                    if n >= 500_000:
                         yield from finish(*np.concatenate(known, axis=1))
                         known, n = [], 0
             held += [unpacked(e, 4) for e in batch.column("entries").to_pylist() if e]
         if held:
-            key, own, extra, mark = np.concatenate(held, axis=1)
+            key, own, extra, more = np.concatenate(held, axis=1)
             held.clear()
             order = np.argsort(key, kind="stable")
-            key, own, extra, mark = key[order], own[order], extra[order], mark[order]
+            key, own, extra, more = key[order], own[order], extra[order], more[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            marked = np.repeat(np.maximum.reduceat(mark, starts), np.diff(starts, append=len(key))) > 0
+            sizes = np.diff(starts, append=len(key))
+            marked = np.repeat(np.maximum.reduceat(more, starts), sizes) > 0
             live = marked | _distinct(key, own, by_id)
+            if often:
+                yield from often(key[starts], np.add.reduceat(more, starts) + sizes.astype(np.uint64))
             known.append(np.stack([key[live], own[live], extra[live]]))
         if known:
             yield from finish(*np.concatenate(known, axis=1))

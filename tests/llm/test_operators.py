@@ -116,19 +116,59 @@ def test_ngram_join_counts_links(spark, block):
 def test_substring_dedup(docs):
     own = {i: words(t) for i, t in plain(docs).items()}
     seen = Counter(tuple(w[k : k + 35]) for w in own.values() for k in range(len(w) - 34))
+    longer = Counter(tuple(w[k : k + 36]) for w in own.values() for k in range(len(w) - 35))
     out = {r["doc_id"]: r for r in substring.without_repeats(docs).collect()}
     assert set(out) == set(own)
     for i, w in own.items():
         gone = [any(seen[tuple(w[k : k + 35])] > 1 for k in range(max(0, p - 34), min(p, len(w) - 35) + 1)) for p in range(len(w))]
         assert (out[i]["n_words"], out[i]["n_removed"]) == (len(w), sum(gone)), i
         assert out[i]["kept"].encode() == b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        assert sum(s["words"] for s in out[i]["spans"]) == sum(gone)
+        covered = {p for s in out[i]["spans"] for p in range(s["first"], s["first"] + s["words"])}
+        assert covered == {p for p, g in enumerate(gone) if g}
+        assert [tuple(s) for s in out[i]["spans"]] == maximal(w, seen, longer), i
+
+
+def maximal(w, seen, longer):
+    """Runs of windows of 35 words that occur elsewhere too, of which each 36 words in a row do as well."""
+    live = [seen[tuple(w[k : k + 35])] > 1 for k in range(len(w) - 34)]
+    on = [longer[tuple(w[k : k + 36])] > 1 for k in range(len(w) - 35)]
+    out, first = [], None
+    for k, x in enumerate(live):
+        if x and first is None:
+            first = k
+        if x and not (k < len(on) and on[k]):
+            out.append((first, k - first + 35))
+            first = None
+    return out
+
+
+def test_spans_of_passages_that_follow_each_other(spark):
+    """Two passages that stand in two other texts, side by side in a third: two spans, each as long as its passage."""
+    a, b = passage(1, 50, 9000), passage(2, 60, 9000)
+    rows = [(1, f"{a} x y"), (2, f"z {b}"), (3, f"{a} {b} end")]
+    out = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: [(0, 50)], 2: [(1, 60)], 3: [(0, 50), (50, 60)]}
+
+
+@pytest.mark.parametrize("at_once", [3, 100_000])
+def test_common_prefixes_in_parts(at_once):
+    """Any size of the parts that are put in order at once gives the same runs."""
+    texts = [t.encode() for t in (passage(k % 7, 80, 6) for k in range(15))]
+    w = substring.Windows(texts, 20, 6)
+    of, where, _, strings = w.stretches(np.ones(len(w.words) + 1, dtype=bool), np.zeros(0, dtype=np.uint64))
+    own, runs = substring.repeated(of.astype(np.uint64), where, np.zeros(len(of), dtype=np.int64), strings, 20, at_once)
+    got = {(int(i), int(r >> np.uint64(16)) + j) for i, r in zip(own, runs, strict=True) for j in range((int(r) & 0xFFFF) >> 1)}
+    each = [t.split() for t in texts]
+    seen = Counter(tuple(x[k : k + 20]) for x in each for k in range(61))
+    assert got == {(i, k) for i, x in enumerate(each) for k in range(61) if seen[tuple(x[k : k + 20])] > 1}
 
 
 def test_substring_groups_do_not_matter(docs):
-    """Any choice of prefixes and group sizes gives the same words."""
-    few = substring.without_repeats(docs, prefixes=(2, 5, 20), group_rows=1).select("doc_id", "n_removed", "kept")
-    assert sorted(few.collect()) == sorted(substring.without_repeats(docs).select("doc_id", "n_removed", "kept").collect())
+    """Any length of the prefixes and size of groups gives the same words and spans."""
+    columns = ["doc_id", "n_removed", "kept", "spans"]
+    want = sorted(substring.without_repeats(docs).select(columns).collect())
+    for k, group_rows in ((12, 1), (5, 20_000), (20, 3)):
+        assert sorted(substring.without_repeats(docs, k=k, group_rows=group_rows).select(columns).collect()) == want
 
 
 @pytest.mark.parametrize("cell_rows", [4, 2048])
