@@ -5,8 +5,10 @@ large label into cells: a vector is owned by the cell of its nearest pivot. By t
 r of one owned by another cell is at most 2r further from that cell's pivot than from its own; in Euclidean space the
 sharper form is (d(v, other)^2 - d(v, own)^2) / (2 |other - own|) <= r. Vectors for which it holds are also sent to that
 cell as visitors. Every cell then joins on its own: owners against owners and visitors, so an owner meets all of its
-partners there, once each. A cell of any size is split into blocks of owners and members that are joined block by
-block. Blocks return counts and the stars of their components, never pairs.
+partners there, once each. Cells that are still large are split again by pivots of their own, by the same rule, as often
+as that makes them smaller; pivots then travel with blocks of their cell's vectors, not to every task. What stays large (a
+ball of less than r) is joined in blocks of owners and members. Blocks return counts and the stars of their components,
+never pairs.
 
 Exact copies are collapsed first (equal label and components) and their numbers kept as weights.
 
@@ -14,7 +16,7 @@ Defined cases: vectors that are null, empty or zero, or hold null or non-finite
 label or id, link with nothing and are their own component. Vectors of different length don't link. Repeated rows are
 vectors of their own. Extra columns are ignored; an empty table gives an empty result.
 
-Broadcast: the pivots, about max_pivots at most (only labels of more than cell_rows vectors have any, and the share of
+Broadcast: the first pivots, about max_pivots at most (only labels of more than cell_rows vectors have any, and the share of
 vectors drawn falls as the table grows), and the names of those labels, fewer than max_pivots.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, lean, table
 from .components import components
 
 #: Lost to rounding when unit vectors are subtracted; it only widens what is compared.
@@ -42,6 +44,64 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ p.T)))
 
 
+#: pivots of a cell that is split again, times that may happen, rows of it that meet them at once
+FAN, ROUNDS, SPLIT_ROWS, FIRST = 64, 5, 4096, 1 << 20
+
+
+def _dealt(x: np.ndarray, p: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vector, pivot's cell, and whether the cell is that of its nearest pivot; a vector is in each cell that may own one within r of it."""
+    d = _distances(x, p)
+    own = d.argmin(1)
+    nearest = d[np.arange(len(x)), own][:, None]
+    apart = _distances(p, p)[own]
+    visits = (d - nearest <= 2 * r) & (d * d - nearest * nearest <= 2 * r * apart + SLACK)
+    visits[np.arange(len(x)), own] = True
+    i, c = np.nonzero(visits)
+    return i, c, c == own[i]
+
+
+def _split(cells: DataFrame, cell_rows: int, r: float) -> DataFrame:
+    """Cells of more than cell_rows owners split by pivots of their own, again and again. A vector that visits a cell goes on
+    visiting in its parts; one that owns a place there owns one in the part of its nearest pivot."""
+    key, done, names = ["label", "dim", "cell"], [], cells.columns
+    written, kind = cells, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
+    cells = cells.withColumn("cell", F.col("cell") + FIRST)  # so that the parts of a cell have numbers beyond all others'
+    for k in range(ROUNDS):
+        sizes = cells.groupBy(*key).agg(F.sum(F.col("owns").cast("long")).alias("owners"), F.count(F.lit(1)).alias("rows"))
+        large = cut(sizes.filter(F.col("owners") > cell_rows))
+        before = large.agg(F.sum("rows")).first()[0]
+        if not before:
+            break
+        share = F.greatest(F.lit(max(1, cell_rows // 2)), F.ceil(F.col("owners") / FAN))
+        mine = cells.join(large, key).withColumn("blocks", F.ceil(F.col("rows") / SPLIT_ROWS).cast("int"))
+        as_pivot = mine.filter(F.col("owns") & (F.pmod(F.xxhash64("rep", F.lit(k)), share) == 0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = mine.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        both = as_pivot.select(*names, "block", F.lit(True).alias("pivot")).unionByName(rows.select(*names, "block", F.lit(False).alias("pivot")))
+
+        def parts(t: pa.Table) -> pa.Table:
+            pivot = t.column("pivot").to_numpy(zero_copy_only=False)
+            p, v = t.filter(pa.array(pivot)), t.filter(pa.array(~pivot)).select(names)
+            if p.num_rows < 2 or not v.num_rows:
+                return v
+            p = p.take(np.argsort(p.column("rep").to_numpy())[: 4 * FAN - 1])  # numbered alike in every block
+            dim = t.column("dim")[0].as_py()
+            i, c, owns = _dealt(_matrix(v.column("unit"), dim), _matrix(p.column("unit"), dim), r)
+            v = v.take(pa.array(i))
+            cell = v.column("cell").to_numpy() * (4 * FAN) + 1 + c
+            return v.set_column(names.index("cell"), "cell", pa.array(cell)).set_column(names.index("owns"), "owns", pa.array(owns & v.column("owns").to_numpy(zero_copy_only=False)))
+
+        new = cut(both.groupBy(*key, "block").applyInArrow(parts, kind))
+        if new.count() > 4 * before:  # vectors lie so close that most visit most cells
+            drop(new)
+            break
+        done.append(cut(cells.join(large, key, "left_anti").select(names)))
+        drop(written, large)
+        cells = written = new
+    for x in done:
+        cells = cells.unionByName(x)
+    return cells
+
+
 def _stars(linked: np.ndarray, owners: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and the smallest id of their component, in the graph of owners and members with links."""
     ids, roots = [], []
@@ -95,6 +155,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     kind = reps.schema["label"].dataType.simpleString()
 
     def deal(batches):
+        lean()
         for batch in batches:
             labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_numpy()
             cell, row, owns = [], [], []
@@ -109,16 +170,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
                     row.append(at)
                     owns.append(np.ones(len(at), dtype=bool))
                     continue
-                d = _distances(_matrix(batch.column("unit").take(pa.array(at)), key[1]), p)
-                own = d.argmin(1)
-                nearest = d[np.arange(len(at)), own][:, None]
-                apart = _distances(p, p)[own]
-                visits = (d - nearest <= 2 * r) & (d * d - nearest * nearest <= 2 * r * apart + SLACK)
-                visits[np.arange(len(at)), own] = True
-                i, c = np.nonzero(visits)
+                i, c, own = _dealt(_matrix(batch.column("unit").take(pa.array(at)), key[1]), p, r)
                 cell.append(c)
                 row.append(at[i])
-                owns.append(c == own[i])
+                owns.append(own)
             row = np.concatenate(row) if row else np.zeros(0, np.int64)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -126,7 +181,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
                 ["label", "dim", "cell", "owns", "rep", "n", "unit"],
             )
 
-    dealt = reps.select("label", "dim", "rep", "n", "unit").mapInArrow(deal, f"label {kind}, dim int, cell bigint, owns boolean, rep bigint, n bigint, unit binary")
+    dealt = _split(cut(reps.select("label", "dim", "rep", "n", "unit").mapInArrow(deal, f"label {kind}, dim int, cell bigint, owns boolean, rep bigint, n bigint, unit binary")), cell_rows, r)
     key = ["label", "dim", "cell"]
     n_blocks = lambda c: F.ceil(F.sum(c.cast("long")) / block_rows).cast("int")
     sizes = cut(dealt.groupBy(*key).agg(n_blocks(F.col("owns")).alias("i_n"), n_blocks(F.lit(1)).alias("j_n")).filter("j_n > 1"))
@@ -153,7 +208,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     links = joined.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(joined.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     found = cut(reps.select("label", "embedding", "rep", "n").join(links, "rep", "left").join(comp, "rep", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    own = vectors.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
+    # a vector without an id meets none of the groups of copies
+    own = vectors.select(F.col(vec_id).alias("id"), F.when(F.col(vec_id).isNotNull(), F.col(label)).alias("label"), F.col(embedding).alias("embedding"))
     out = own.join(found, ["label", "embedding"], "left").select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(vec_id).eqNullSafe(F.col("component_id")))
 
