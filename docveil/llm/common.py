@@ -10,8 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Learners leave out rows whose crc32(doc_id as text) is 0 modulo this.
 FOLDS = 5
@@ -83,6 +84,38 @@ def lean(but: str = "") -> None:
         _LIBC.malloc_trim(0)
 
 
+def drawn(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows whose `by` columns have the smallest hashes. All but about 4 n rows are left out before they are sorted,
+    so what is sorted and sent doesn't grow with the table."""
+    h = F.xxhash64(*[F.col(c).cast("string") for c in by])
+    total = rows.count()
+    some = rows if total <= 8 * n else rows.filter(h < F.lit(int(4 * n / total * 2**64) - 2**63))
+    return some.orderBy(h, *by).limit(n)
+
+
+def within_bytes(rows: DataFrame, text: str, most: int, *order: str) -> DataFrame:
+    """Those of a few rows that come first and have at most `most` bytes of text together."""
+    upto = F.sum(F.octet_length(text)).over(Window.orderBy(*order))
+    return rows.withColumn("_upto", upto).filter(F.col("_upto") <= most).drop("_upto")
+
+
+def by_text(make, fields: str, slice_bytes: int):
+    """A function of a text column that gives a struct of `fields`; make() gives, for a task, a function from a list of texts
+    (bytes; null is empty) to the fields' Arrow arrays. Only the text goes to Python, once, and only the struct comes back."""
+    kind = StructType.fromDDL(fields)
+
+    names = kind.names
+
+    @F.arrow_udf(kind)
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = make()
+        for column in columns:
+            parts = by_bytes(pa.RecordBatch.from_arrays([column], ["text"]), "text", slice_bytes)
+            yield pa.concat_arrays([pa.StructArray.from_arrays(of(raw_column(x, "text")), names) for x in parts])
+
+    return run.asNondeterministic()  # so that it is computed once, whatever reads its fields
+
+
 def raw_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as bytes objects; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

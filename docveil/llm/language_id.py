@@ -8,9 +8,11 @@ Words are cut at ASCII white space; one of more than LONGEST letters, as of scri
 in the chain, each of LONGEST letters and beginning with the last two of the place before, so that every letter and every
 trigram is read. Such places are labelled like words, so a switch of language within a long run is seen.
 
-Learning: the conditional likelihood of the document's language at every word, by gradients from the same
-forward-backward, on at most `sample_docs` labelled documents, drawn by the hash of their id. Predictions read the text
-alone, whole: long texts are cut into segments whose transfer matrices are chained, which is exact.
+Learning: the conditional likelihood of every word's language, by gradients from the same forward-backward, on at most
+`sample_docs` labelled documents of at most `sample_bytes` together, drawn by the hash of their id and text. A document's
+words have its language; sequences spliced from two documents of different languages (splices()) show where languages
+switch. Predictions read the text alone, whole: long texts are cut into segments whose transfer matrices are chained, which
+is exact. word_labels() gives the language of each word of a text, spans() its runs.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything if no label is given. Repeated rows
 give a row each; extra columns are ignored. Broadcast: the weights, (2 ** BITS) x languages.
@@ -21,13 +23,14 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out, raw_column, spread, table
+from .common import by_text, drawn, held_out, spread, table, within_bytes
 from .pieces import Ids, kept, sums
 
 BITS, SEGMENT, LONGEST = 16, 64, 40
@@ -162,21 +165,55 @@ class Model:
         out = np.stack([sums(p[:, j], lens) for j in range(p.shape[1])], axis=1)
         return np.clip(out / np.maximum(has, 1)[:, None], 0, 1) * (has > 0)[:, None]
 
+    def word_labels(self, text: bytes) -> list[tuple[str, str]]:
+        """Each place of the chain (a word, see chain_words) with its likeliest language; `und` without a letter."""
+        words = chain_words(text)
+        if not words or not self.labels:
+            return [(w.decode("utf-8", "replace"), "und") for w in words]
+        values = np.array(self.emissions(words))
+        best = Chain(values[:, :-1], np.array([len(words)]), self.transitions).marginals().argmax(1)
+        return [(w.decode("utf-8", "replace"), self.labels[i] if x else "und") for w, i, x in zip(words, best.tolist(), values[:, -1].tolist(), strict=True)]
+
+
+SPLICED, EVERY = 12, 4
+
+
+def splices(words: list[list[bytes]], langs: list[str]) -> list[tuple[list[bytes], list[str]]]:
+    """For every EVERY-th text, a sequence of it and the next one of another language, SPLICED words of each by turns."""
+    out, n = [], len(words)
+    for i in range(0, n, EVERY):
+        j = next((j % n for j in range(i + 1, i + n) if langs[j % n] != langs[i]), None)
+        if j is None:
+            break
+        own: list[bytes] = []
+        gold: list[str] = []
+        for a in range(0, 3 * SPLICED, SPLICED):
+            for k in (i, j):
+                part = words[k][a : a + SPLICED]
+                own += part
+                gold += [langs[k]] * len(part)
+        out.append((own, gold))
+    return out
+
 
 def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float = 0.3, decay: float = 1e-4, group_words: int = 100_000) -> Model:
     """Adagrad on the mean log-likelihood of a word, with a quadratic penalty."""
     labels = sorted(set(langs))
     k = len(labels)
     weights, transitions = np.zeros((1 << BITS, k)), np.where(np.eye(k) > 0, 2.0, 0.0)
-    words = [chain_words(t) for t in texts]
-    keep = [i for i, w in enumerate(words) if w]
-    words, gold = [words[i] for i in keep], np.array([labels.index(langs[i]) for i in keep])
-    if not words:
+    own = [(w, x) for w, x in ((chain_words(t), x) for t, x in zip(texts, langs, strict=True)) if w]
+    if not own:
         return Model(labels, weights, transitions)
+    words, gold_of = [w for w, _ in own], [[x] * len(w) for w, x in own]
+    for w, x in splices(words, [x for _, x in own]):
+        words.append(w)
+        gold_of.append(x)
+    number = {x: i for i, x in enumerate(labels)}
     lens = np.array([len(w) for w in words], dtype=np.int64)
+    gold = np.fromiter((number[x] for g in gold_of for x in g), dtype=np.int8, count=int(lens.sum()))
     types: dict[bytes, int] = {}
     at = np.fromiter((types.setdefault(x, len(types)) for w in words for x in w), dtype=np.int32)
-    del words
+    del words, gold_of, own
     features = [word_features(w.decode("utf-8", "replace")) for w in types]
     f_lens = np.array([len(f) for f in features], dtype=np.int64)
     flat = np.array([i for f in features for i in f], dtype=np.int32)
@@ -184,6 +221,9 @@ def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float =
     del features, types
     seen_w, seen_t = np.full_like(weights, 1e-8), np.full_like(transitions, 1e-8)
     n, ends = len(at), np.cumsum(lens)
+    inside = np.ones(n, dtype=bool)
+    inside[ends - lens] = False  # words that follow another one
+    steps = np.bincount(gold[:-1][inside[1:]].astype(np.int64) * k + gold[1:][inside[1:]], minlength=k * k).reshape(k, k)
     # texts in groups of about group_words words, one after the other in each round, so that memory has a bound
     edges = np.flatnonzero(np.diff(ends // group_words, prepend=-1))
     groups = list(zip(edges.tolist(), [*edges[1:].tolist(), len(lens)], strict=True))
@@ -191,14 +231,14 @@ def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float =
         emissions = np.stack([sums(weights[flat, j], f_lens) for j in range(k)], axis=1)
         by_type, pairs = np.zeros((n_types, k)), np.zeros((k, k))
         for a, b in groups:
-            own, own_lens = at[ends[a] - lens[a] : ends[b - 1]], lens[a:b]
-            chain = Chain(emissions[own], own_lens, transitions)
+            mine = slice(ends[a] - lens[a], ends[b - 1])
+            chain = Chain(emissions[at[mine]], lens[a:b], transitions)
             error = -chain.marginals()
-            error[np.arange(len(own)), np.repeat(gold[a:b], own_lens)] += 1
-            by_type += np.stack([np.bincount(own, error[:, j], minlength=n_types) for j in range(k)], axis=1)
+            error[np.arange(len(error)), gold[mine]] += 1
+            by_type += np.stack([np.bincount(at[mine], error[:, j], minlength=n_types) for j in range(k)], axis=1)
             pairs += chain.pairs()
         g_w = np.stack([np.bincount(flat, np.repeat(by_type[:, j], f_lens), minlength=1 << BITS) for j in range(k)], axis=1) / n - decay * weights
-        g_t = (np.diag([float((lens[gold == j] - 1).sum()) for j in range(k)]) - pairs) / n - decay * transitions
+        g_t = (steps - pairs) / n - decay * transitions
         seen_w += g_w * g_w
         seen_t += g_t * g_t
         weights += rate * g_w / np.sqrt(seen_w)
@@ -206,36 +246,66 @@ def learn(texts: list[bytes], langs: list[str], rounds: int = 30, rate: float =
     return Model(labels, weights, transitions)
 
 
-def training_rows(docs: DataFrame, sample_docs: int, doc_id: str, text: str, lang: str) -> list:
+def training_rows(docs: DataFrame, sample_docs: int, sample_bytes: int, doc_id: str, text: str, lang: str) -> list:
+    """(t, l) of the drawn documents: ids and hashes of texts are drawn first, and only the drawn texts are fetched."""
     rows = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return rows.orderBy(F.xxhash64(F.col(doc_id).cast("string")), F.xxhash64(text)).limit(sample_docs).select(F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("l")).collect()
+    own = rows.select(F.col(doc_id).cast("string").alias("i"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("l"))
+    few = drawn(own.select("i", "h"), sample_docs, "i", "h").distinct()
+    texts = own.join(F.broadcast(few), ["i", "h"]).dropDuplicates(["i", "h"])
+    order = F.xxhash64("i", "h")
+    return within_bytes(texts.withColumn("o", order), "t", sample_bytes, "o", "i", "h").select("t", "l").collect()
+
+
+def trained(docs: DataFrame, sample_docs: int = 1200, sample_bytes: int = 64 << 20, rounds: int = 30, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    rows = training_rows(docs, sample_docs, sample_bytes, doc_id, text, lang)
+    return learn([bytes(r["t"]) for r in rows], [r["l"] for r in rows], rounds)
 
 
 def language_id(docs: DataFrame, sample_docs: int = 1200, rounds: int = 30, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
     """All columns of docs, with held_out, lang_pred and score (columns of these names are replaced)."""
     if model is None:
-        drawn = training_rows(docs, sample_docs, doc_id, text, lang)
-        model = learn([bytes(r["t"]) for r in drawn], [r["l"] for r in drawn], rounds)
+        model = trained(docs, sample_docs, rounds=rounds, doc_id=doc_id, text=text, lang=lang)
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.transitions))
     base = docs.drop("held_out", "lang_pred", "score")
-    names, name = base.columns, uuid.uuid4().hex
+    name = uuid.uuid4().hex
 
-    def run(batches):
+    def make():
         m = Model(*sent.value)
-        memo = kept(name, lambda: Ids(m.emissions, code="f"))
-        for big in batches:
-            for batch in by_bytes(big, text, 2 << 20):
-                texts = raw_column(batch, text)
-                if m.labels:
-                    p = m.scores(memo, texts)
-                    best, score = p.argmax(1), p.max(1)
-                    lang_pred = [m.labels[i] if s > 0 else "und" for i, s in zip(best.tolist(), score.tolist(), strict=True)]
-                else:
-                    lang_pred, score = ["und"] * len(texts), np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang_pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, lang_pred string, score double").withColumn("held_out", held_out(doc_id))
+        memo = kept(name, lambda: Ids(m.emissions, code="f", most=400_000))
+
+        def of(texts):
+            if not m.labels:
+                return [pa.array(["und"] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))]
+            p = m.scores(memo, texts)
+            best, score = p.argmax(1), p.max(1)
+            return [pa.array([m.labels[i] if s > 0 else "und" for i, s in zip(best.tolist(), score.tolist(), strict=True)], pa.string()), pa.array(score, pa.float64())]
+
+        return of
+
+    out = base.select("*", by_text(make, "lang_pred string, score double", 1 << 20)(F.col(text).cast("string")).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"), held_out(doc_id).alias("held_out"))
+
+
+def spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and spans of every row: the runs of words of one language (first place of the chain, number, language)."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.transitions))
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
+
+    def make():
+        m = Model(*sent.value)
+
+        def runs_of(t: bytes) -> list[dict]:
+            out, at = [], 0
+            for lang, own in groupby(x for _, x in m.word_labels(t)):
+                n = sum(1 for _ in own)
+                out.append({"first": at, "words": n, "lang": lang})
+                at += n
+            return out
+
+        return lambda texts: [pa.array([runs_of(t) for t in texts], kind)]
+
+    out = docs.select(doc_id, by_text(make, "spans array<struct<first:int,words:int,lang:string>>", 1 << 20)(F.col(text).cast("string")).alias("s"))
+    return out.select(doc_id, F.col("s")["spans"].alias("spans"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
