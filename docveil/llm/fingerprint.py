@@ -12,8 +12,9 @@ follow each other in the order of their text, each with an own result; a null do
 the id and the text are not read.
 
 The next document is found without a global sort: rows are dealt to runs of ids, each run sorted on its own, and the
-first row of each run is also given to the run before it. The only rows sent everywhere are the first id of each run,
-at most MOST_RUNS. Texts are shuffled once.
+first row of each run is also given to the run before it. Runs lie between quantiles of the ids, so gaps and outliers don't
+matter; between two quantiles they are equal ranges. Rows that share one id are in one run. The only rows sent everywhere
+are the first id of each run, about MOST_RUNS at most. Texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import table
 LANES, LANE_BITS, BLOCK = 128, 20, 4
 _HEX = LANE_BITS // 4
 _HASHES = LANES // 16  # a 64-bit hash has 16 numbers of 4 bits
-RUN_ROWS, MOST_RUNS = 512, 65_536
+RUN_ROWS, MOST_RUNS, QUANTILES = 512, 65_536, 1024
 _PAIR = 0x0000000F0000000F
 
 
@@ -81,19 +82,33 @@ def shift_fingerprint(fingerprint: Column, change: Column, sign: int = 1) -> Col
     return F.array_join(F.array(*[F.lower(F.lpad(F.hex(F.pmod(at(fingerprint, i) + sign * at(change, i), F.lit(1 << LANE_BITS))), _HEX, "0")) for i in range(LANES)]), "")
 
 
+def _with_run(rows: DataFrame, run_rows: int, most_runs: int) -> DataFrame:
+    """rows with the number of their id's run, which ascends with the id; -1 for a null id."""
+    n_runs = max(1, min(most_runs, rows.count() // run_rows))
+    cells = min(n_runs, QUANTILES)
+    borders = sorted(set(rows.agg(F.percentile_approx("id", [k / cells for k in range(cells + 1)], 10 * QUANTILES)).first()[0] or [0]))
+    # the last border that isn't above the id, in two steps
+    wide, at_id, array = 32, F.col("id"), lambda own: F.array(*[F.lit(b).cast("long") for b in own])
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= at_id))
+    head = F.greatest(upto(array(borders[::wide])) - 1, F.lit(0))
+    rows = rows.withColumn("_head", head)
+    rows = rows.withColumn("_cell", F.greatest(F.col("_head") * wide + upto(F.get(F.array(*[array(borders[i : i + wide]) for i in range(0, len(borders), wide)]), F.col("_head"))) - 1, F.lit(0)))
+    # equal ranges between two borders; ids may be 2 ** 64 apart
+    per = -(-n_runs // cells)
+    big = lambda c: c.cast("decimal(20,0)")
+    low, high = (big(F.get(array(x), F.col("_cell"))) for x in (borders, [*borders[1:], borders[-1]]))
+    part = F.floor((big(at_id) - low) * per / F.greatest(high - low, F.lit(1).cast("decimal(20,0)"))).cast("long")
+    run = F.col("_cell").cast("long") * per + F.greatest(F.least(part, F.lit(per - 1)), F.lit(0))
+    return rows.withColumn("run", F.when(at_id.isNull(), F.lit(-1)).otherwise(run)).drop("_head", "_cell")
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS, most_runs: int = MOST_RUNS) -> DataFrame:
     """run, at, id, text of every row, and of one borrowed row after each run; at numbers a run's rows.
 
-    Runs are equal ranges of ids, about run_rows rows each where ids are spread evenly. A window sorts a run on disk
-    where it must, so uneven ids cost time, not rows.
+    A run has about run_rows rows, more where most_runs aren't enough. A window sorts a run on disk where it must.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # one row: how many ids, the smallest and the largest
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
-    n_runs = max(1, min(most_runs, n // run_rows))
-    width = max(1, ((high or 0) - (low or 0)) // n_runs + 1)
-    run = F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = rows.withColumn("run", run)
+    rows = _with_run(rows, run_rows, most_runs)
     # one row for each run, at most most_runs + 1; each run lends its first row to the run before it, the first run to the last
     heads = rows.groupBy("run").agg(F.min(F.struct("id", "run")).alias("h")).select("run", F.col("h.id").alias("head"))
     order = Window.orderBy("run")
