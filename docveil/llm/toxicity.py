@@ -8,10 +8,10 @@ Counterfactuals: in labelled sentences that name a group, the name is swapped fo
 change of the sentence's score is a penalty. Names of groups then weigh alike and, against the L1 penalty, nothing, so
 neutral mentions aren't marked.
 
-Learning: at most `sample_docs` labelled rows, drawn by the hash of their id, never held-out ones. Scores read the
-whole text alone. Null and empty texts have the score of a text without features. Repeated rows give a row each;
+Learning: at most `sample_docs` labelled rows of at most `sample_bytes` together, drawn by the hash of their id, never
+held-out ones; all sentences of their whole texts, each with all swaps. Scores read the whole text alone. Null and empty texts have the score of a text without features. Repeated rows give a row each;
 columns other than the id and the text are not read. Without labels, every score is 0. Broadcast: the weights that
-are not 0, at most `most_features`.
+are not 0, no more than the sample's words have features.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out, raw_column, table
+from .common import by_bytes, drawn, held_out, raw_column, table, within_bytes
 from .pieces import Ids, kept
 
 BITS = 22
@@ -52,15 +53,18 @@ def features(text: str) -> set[int]:
     return {f for w in set(_WORD.findall(text.lower())) for f in word_features(w)}
 
 
-def swaps(text: str, most: int = 20) -> list[tuple[set[int], set[int]]]:
-    """(features of a sentence, features of it with a group's name swapped), at most `most` from a text."""
-    out = []
+def swaps(text: str) -> Counter:
+    """What each swap of a group's name in a sentence changes: (features that go, features that come), with their number."""
+    out: Counter = Counter()
     for sentence in _SENTENCE.split(text):
-        words = _WORD.findall(sentence.lower())
-        for name in dict.fromkeys(w for w in words if w in _KIND):
+        words = set(_WORD.findall(sentence.lower()))
+        for name in words & _KIND.keys():
+            rest = {f for w in words if w != name for f in word_features(w)}
+            own = set(word_features(name)) - rest
             for other in _KIND[name]:
-                if other != name and len(out) < most:
-                    out.append((features(" ".join(words)), features(" ".join(other if w == name else w for w in words))))
+                if other != name:
+                    new = set(word_features(other)) - rest
+                    out[frozenset(own - new), frozenset(new - own)] += 1
     return out
 
 
@@ -78,12 +82,12 @@ class Model:
         return [sorted(f for f in features(p.decode("utf-8", "replace")) if f in self.weights) for p in pieces]
 
 
-def _rows(sets: list[set[int]], index: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _rows(sets: list, index: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     own = [[index[f] for f in s if f in index] for s in sets]
     return np.array([i for x in own for i in x], dtype=np.int64), np.repeat(np.arange(len(own)), [len(x) for x in own])
 
 
-def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float = 1.0, rounds: int = 300, least_docs: int = 4, z: float = 3.0, most_features: int = 20_000) -> Model:
+def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float = 1.0, rounds: int = 300, least_docs: int = 4, z: float = 3.0) -> Model:
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(-60.0 if not len(y) or y.max() == 0 else 60.0, {})
@@ -97,12 +101,11 @@ def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float
     odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
     error = np.sqrt(1 / (c1 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n0 - c0 + 0.5))
     strength = np.abs(odds / error)
-    pairs = [p for t in texts for p in swaps(t)]
-    kept = np.flatnonzero((c1 + c0 >= least_docs) & (strength >= z))
-    kept = names[kept[np.argsort(-strength[kept], kind="stable")[:most_features]]]
-    index = {int(f): i for i, f in enumerate(kept)}
+    changes = sum((swaps(t) for t in texts), Counter())
+    pairs, times = list(changes), np.array(list(changes.values()), dtype=float)
+    index = {int(f): i for i, f in enumerate(names[(c1 + c0 >= least_docs) & (strength >= z)])}
     for a, b in pairs:  # names of groups take part whatever their strength
-        for f in a ^ b:
+        for f in a | b:
             index.setdefault(f, len(index))
     column = np.full(len(names), -1)
     for f, i in index.items():
@@ -111,19 +114,20 @@ def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float
             column[j] = i
     x, r = column[at], row
     x, r = x[x >= 0], r[x >= 0]
-    plus, p_row = _rows([a - b for a, b in pairs], index)
-    minus, m_row = _rows([b - a for a, b in pairs], index)
-    k, n, n_pairs = len(index), len(y), max(1, len(pairs))
+    plus, p_row = _rows([a for a, _ in pairs], index)
+    minus, m_row = _rows([b for _, b in pairs], index)
+    k, n, n_pairs = len(index), len(y), len(pairs)
+    share = times / times.sum() if n_pairs else times
     w, bias = np.zeros(k), float(np.log(n1 / n0))
     v, v_bias, step_t = w.copy(), bias, 1.0
     # one over a bound of the curvature: the traces of both quadratic forms
-    rate = 1 / (0.25 * (1 + len(x) / n) + 2 * fairness * (len(plus) + len(minus)) / n_pairs)
+    rate = 1 / (0.25 * (1 + len(x) / n) + 2 * fairness * (share[p_row].sum() + share[m_row].sum()))
     for _ in range(rounds):
         score = 1 / (1 + np.exp(-np.clip(np.bincount(r, v[x], minlength=n) + v_bias, -60, 60)))
         g = np.bincount(x, (score - y)[r], minlength=k) / n
         if pairs:
-            change = np.bincount(p_row, v[plus], minlength=n_pairs) - np.bincount(m_row, v[minus], minlength=n_pairs)
-            g += 2 * fairness / n_pairs * (np.bincount(plus, change[p_row], minlength=k) - np.bincount(minus, change[m_row], minlength=k))
+            change = share * (np.bincount(p_row, v[plus], minlength=n_pairs) - np.bincount(m_row, v[minus], minlength=n_pairs))
+            g += 2 * fairness * (np.bincount(plus, change[p_row], minlength=k) - np.bincount(minus, change[m_row], minlength=k))
         new = v - rate * g
         new = np.sign(new) * np.maximum(0, np.abs(new) - rate * l1)
         new_bias = v_bias - rate * (score - y).mean()
@@ -133,11 +137,14 @@ def learn(texts: list[str], labels: list[int], l1: float = 1e-3, fairness: float
     return Model(float(bias), {f: float(w[i]) for f, i in index.items() if w[i] != 0})
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample_docs: int, doc_id: str, text: str) -> list:
-    """(t, y) of at most about sample_docs rows; the drawn ids are few enough to be sent everywhere."""
-    drawn = labels.filter(~held_out(doc_id) & F.col(label).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).alias("y")).orderBy(F.xxhash64(F.col("i").cast("string")), "i", "y").limit(sample_docs)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample_docs: int, doc_id: str, text: str, sample_bytes: int = 64 << 20) -> list:
+    """(t, y, i) of at most sample_docs rows; the drawn ids are few enough to be sent everywhere. Of several texts with a
+    drawn id, the one with the smallest hash is taken."""
+    rated = labels.filter(~held_out(doc_id) & F.col(label).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).alias("y"))
+    few = drawn(rated, sample_docs, "i", "y").distinct()
     own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter("t is not null")
-    rows = own.join(F.broadcast(drawn), "i").select("t", "y", "i").collect()
+    one = own.join(F.broadcast(few), "i").groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = within_bytes(one.withColumn("o", F.xxhash64(F.col("i").cast("string"))), "t", sample_bytes, "o", "i", "y").select("t", "y", "i").collect()
     return sorted(rows, key=lambda r: (r["i"], r["t"], r["y"]))
 
 
@@ -152,7 +159,7 @@ def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         names = np.array(sorted(m.weights), dtype=np.int64)
         values = np.array([m.weights[i] for i in names.tolist()])
         for big in batches:
-            for batch in by_bytes(big, "text", 4 << 20):
+            for batch in by_bytes(big, "text", 2 << 20):
                 words = [t.split() for t in raw_column(batch, "text")]
                 ids, lens = memo.ids([w for x in words for w in x])
                 of = np.repeat(np.repeat(np.arange(len(words)), [len(x) for x in words]), lens)
