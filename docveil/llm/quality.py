@@ -5,7 +5,8 @@ vector x holds hashed features: the shares of word shapes (letters, digits, sign
 ends, and bands of a few whole-text measures (distinct words, word length, letters, lines that repeat). From the
 thresholds follow the expected grade and the tail probability P(grade >= good_grade), which selects.
 
-Learning: at most `sample_docs` rated rows, drawn by the hash of their id, never held-out ones; whole texts. Grades are
+Learning: at most `sample_docs` rated rows of at most `sample_bytes` together, drawn by the hash of their id, never held-out
+ones; whole texts. Grades are
 the distinct ratings in ascending order. Null and empty texts are rated by their features like any other. Repeated
 rows give a row each; columns other than the id and the text are not read. Without ratings, the expected grade is null
 and every tail probability 0. Broadcast: 2 ** BITS weights.
@@ -14,6 +15,7 @@ and every tail probability 0. Broadcast: 2 ** BITS weights.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out, raw_column, table
+from .common import by_text, held_out, table
 from .pieces import Ids, kept, sums
 from .toxicity import labelled
 
@@ -43,7 +45,7 @@ def word_facts(pieces: list[bytes]) -> list[list[int]]:
             shape = pattern.sub(mark, shape)
         letters = sum(map(str.isalpha, w))
         case = "U" if w.isupper() and len(w) > 1 else "T" if w[:1].isupper() else "l"
-        out.append([_hash("shape" + case + shape[:12]), _hash("end" + re.sub(r"[\w]+", "", w[-3:])), min(len(w), 1 << 20), letters])
+        out.append([_hash("shape" + case + shape), _hash("end" + re.sub(r"[\w]+", "", w[-3:])), len(w), letters])
     return out
 
 
@@ -68,7 +70,7 @@ def vectors(memo: Ids, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     chars, letters = sums(facts[:, 2], lens), sums(facts[:, 3], lens)
     lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     copied = np.array([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
-    size = np.minimum(np.log2(lens + 1).astype(np.int64), 12)
+    size = np.log2(lens + 1).astype(np.int64)
     measures = {
         "distinct": distinct / n, "length": np.minimum(chars / n / 20, 1), "letters": letters / np.maximum(chars, 1), "again": again / n, "lines": copied,
     }
@@ -149,29 +151,29 @@ def quality(docs: DataFrame, model: Model, good_grade=None, doc_id: str = "doc_i
     """All columns of docs, with expected_grade and tail_prob (columns of these names are replaced); good_grade: the highest by default."""
     grades = model.grades
     good = (grades[-1] if good_grade is None else good_grade) if grades else None
-    base = docs.drop("expected_grade", "tail_prob")
-    names = base.columns
+    base, name = docs.drop("expected_grade", "tail_prob"), uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast((grades, model.thresholds, model.weights))
 
-    def run(batches):
+    def make():
         m = Model(*sent.value)
-        memo = kept("word facts", lambda: Ids(word_facts, code="i"))
-        for big in batches:
-            for batch in by_bytes(big, text, 4 << 20):
-                texts = raw_column(batch, text)
-                if m.grades:
-                    p = m.probabilities(memo, texts)
-                    expected, tail = p @ np.array(m.grades, dtype=float), p[:, [g >= good for g in m.grades]].sum(1)
-                else:
-                    expected, tail = np.full(len(texts), np.nan), np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(expected, pa.float64(), from_pandas=True), pa.array(tail, pa.float64())], [*names, "expected_grade", "tail_prob"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, expected_grade double, tail_prob double")
-
-
-def trained(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, doc_id: str = "doc_id", text: str = "text", rating: str = "quality") -> Model:
-    rows = labelled(docs, labels, rating, sample_docs, doc_id, text)
+        memo = kept("word facts", lambda: Ids(word_facts, code="i", most=400_000))
+
+        def of(texts):
+            if m.grades:
+                p = m.probabilities(memo, texts)
+                expected, tail = p @ np.array(m.grades, dtype=float), p[:, [g >= good for g in m.grades]].sum(1)
+            else:
+                expected, tail = np.full(len(texts), np.nan), np.zeros(len(texts))
+            return [pa.array(expected, pa.float64(), from_pandas=True), pa.array(tail, pa.float64())]
+
+        return of
+
+    out = base.select("*", by_text(make, "expected_grade double, tail_prob double", 1 << 20)(F.col(text)).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], F.col(name)["expected_grade"].alias("expected_grade"), F.col(name)["tail_prob"].alias("tail_prob"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", rating: str = "quality") -> Model:
+    rows = labelled(docs, labels, rating, sample_docs, doc_id, text, sample_bytes)
     return learn([r["t"].encode("utf-8", "surrogatepass") for r in rows], [r["y"] for r in rows])
 
 
