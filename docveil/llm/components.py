@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +60,19 @@ def forest(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every node that has an edge; edges: columns a and b, long, not null."""
     edges = cut(forest(edges).distinct())
-    labels = None
+    labels, held = None, None  # held: the written table that labels reads
     while True:
         both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
         low = cut(both.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("to")))
-        labels = low.withColumnRenamed("to", "component") if labels is None else cut(labels.join(low.withColumnRenamed("id", "component"), "component", "left").select(labels["id"], F.coalesce("to", "component").alias("component")))
         to = edges.join(low.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(low.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-        edges = cut(to.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
+        left = cut(to.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
+        drop(edges)
+        edges = left
+        if held is None:
+            labels, held = low.withColumnRenamed("to", "component"), low
+        else:
+            new = cut(labels.join(low.withColumnRenamed("id", "component"), "component", "left").select(labels["id"], F.coalesce("to", "component").alias("component")))
+            drop(held, low)
+            labels = held = new
         if edges.isEmpty():
             return labels

@@ -10,17 +10,18 @@ distinct 64-bit hashes of the n-grams of a text; fewer than n words make one n-g
 4. Pivot round: in each n-gram's postings, the pair of every node with one hub, which has it earliest, is tried. That links large groups of
    near copies with as many pairs as postings, not with the square of the group.
 5. Last round: all pairs of postings of one n-gram whose components still differ, so no link that could change a
-   component is left out. Pairs must pass the length filter and the positional filter, pairs tried before are left
-   out, and each remaining pair is verified once, after the suffix filter, against the whole sets.
+   component is left out. Pairs must pass the length filter, the positional filter and the suffix filter: of each set it is
+   known how many hashes lie in each of LANES ranges, and two sets share no more than the smaller numbers' sum. Only then are
+   texts sent to pairs; pairs tried before are left out, and each remaining one is verified once against the whole sets.
 
 Components of all links found are those of all links. For the number of links, every pair of nodes of a component, which
-holds all its links, is compared once, in blocks that return counts (links_of). Defined cases: null and empty texts, and texts without words,
-have an empty set, link with nothing and are their own component. Rows that repeat a doc_id are taken as one more
-document with that id. Extra columns are ignored; an empty table gives an empty result. A row with a
-null id links through copies of its text that have an id.
+holds all its links, is compared once, in blocks that return counts (links_of). Defined cases: null and empty texts, and
+texts without words, have an empty set, link with nothing and are their own component. Rows that repeat a doc_id are taken
+as one more document with that id, and rows with a null id link like any other; a component's id is the smallest that is
+not null, or null if all are. Extra columns are ignored; an empty table gives an empty result.
 
 Broadcast: the ranks of the count table, 2 ** COUNT_BITS bytes whatever the input. 64-bit hashes stand for n-grams and
-texts; among 10 ** 9 distinct ones, the chance that any two agree is 3 %.
+texts: among 10 ** 9 distinct ones, the chance that any two agree is 3 %, among 10 ** 10 two or three pairs are expected.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, mix, raw_column, runs, table, word_hashes
+from .common import by_bytes, cut, drop, lean, mix, raw_column, runs, table, word_hashes
 from .components import components
 from .repeats import Counter, n_buckets, receive, send, sum_chunks
 
-COUNT_BITS = 20
+COUNT_BITS, LANES = 20, 64
 #: nodes and bytes of text of a block, about; columns of n-grams at once
 BLOCK, BLOCK_BYTES, COLUMNS = 2048, 16 << 20, 1024
 
@@ -44,6 +45,16 @@ def need(size_sum, percent: int):
     return -(-percent * size_sum // (100 + percent))
 
 
+def nodes_of(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hash of each text's words."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    place = np.arange(len(words), dtype=np.uint64) - np.repeat(starts, counts).astype(np.uint64)
+    each = mix(words ^ mix(place + np.uint64(1)))  # the word and its place
+    total = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
+    return mix(total[ends] - total[starts] + counts.astype(np.uint64))
+
+
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams text by text (not distinct), how many each text has, and the hash of each text's words."""
     words, counts = word_hashes(texts, lower=True)
@@ -54,10 +65,7 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     out = np.zeros(int(sizes.sum()), dtype=np.uint64)
     at = 0
-    place = np.arange(len(words), dtype=np.uint64) - np.repeat(starts, counts).astype(np.uint64)
-    each = mix(words ^ mix(place + np.uint64(1)))  # the word and its place
-    total = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
-    whole = mix(total[ends] - total[starts] + counts.astype(np.uint64))
+    whole = nodes_of(words, counts)
     for i in range(len(texts)):
         k = int(sizes[i])
         if counts[i] >= n:
@@ -75,29 +83,54 @@ def _sets(texts: list[bytes], n: int):
     return [np.unique(grams[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], whole
 
 
-def documents_and_counts(docs: DataFrame, n: int, doc_id: str, text: str, percent: int) -> tuple[DataFrame, np.ndarray]:
-    """id, node, n_shingles of every row (written), and a rank of rarity for each cell of the count table."""
+def documents_and_counts(docs: DataFrame, n: int, doc_id: str, text: str) -> tuple[DataFrame, np.ndarray]:
+    """id, node, n_shingles, lanes of every row (written), and a rank of rarity for each cell of the count table."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["id", "node", "n_shingles", "lanes", "chunk", "counts"]
 
     def run(batches):
+        lean()
         seen, id_type = Counter(COUNT_BITS), None
         for big in batches:
             id_type = big.schema.field("id").type
             for batch in by_bytes(big, "text"):
                 sets, whole = _sets(raw_column(batch, "text"), n)
-                if sets:
-                    seen.add(np.concatenate(sets))
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(whole.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["id", "node", "n_shingles", "chunk", "counts"])
+                all_ = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+                seen.add(all_)
+                lens = np.array([len(s) for s in sets], dtype=np.int64)
+                lanes = np.bincount(np.repeat(np.arange(k), lens) * LANES + (all_ >> np.uint64(58)).astype(np.int64), minlength=k * LANES)
+                offsets = pa.array(np.arange(k + 1) * LANES, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(whole.view(np.int64)), pa.array(lens), pa.ListArray.from_arrays(offsets, pa.array(lanes, pa.int32())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if id_type is not None:
             part = list(seen.chunks())
             k = len(part)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([c for c, _ in part], pa.int32()), pa.array([x.astype("<i8").tobytes() for _, x in part], pa.binary())], ["id", "node", "n_shingles", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.array([c for c, _ in part], pa.int32()), pa.array([x.astype("<i8").tobytes() for _, x in part], pa.binary())], names)
 
-    both = cut(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, node bigint, n_shingles bigint, chunk int, counts binary"))
+    both = cut(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, node bigint, n_shingles bigint, lanes array<int>, chunk int, counts binary"))
     counts = Counter.collected(sum_chunks(both.filter("chunk is not null"), 64), COUNT_BITS)[0]
     rank = np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8)
-    return both.filter("chunk is null").select("id", "node", "n_shingles"), rank
+    return both.filter("chunk is null").select("id", "node", "n_shingles", "lanes"), rank
+
+
+def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes, once each; of equal words, any row's text. A task sends a node's text once."""
+
+    def run(batches):
+        lean()
+        seen: set[int] = set()
+        for big in batches:
+            for batch in by_bytes(big, "text"):
+                nodes = nodes_of(*word_hashes(raw_column(batch, "text"), lower=True)).view(np.int64)
+                _, first = np.unique(nodes, return_index=True)
+                new = np.array([i for i, x in zip(first.tolist(), nodes[first].tolist(), strict=True) if x not in seen], dtype=np.int64)
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.update(nodes[new].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), batch.column("text").take(pa.array(new))], ["node", "text"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "node bigint, text string")
+    return rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -145,20 +178,24 @@ def admitted(a: str, b: str, percent: int):
     return length & (F.least(size_a - pos_a, size_b - pos_b) * (100 + percent) >= (size_a + size_b) * percent)
 
 
+def possible(pairs: DataFrame, lanes: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter: pairs a, b whose ranges of hashes can hold the least overlap; lanes: node, lanes."""
+    of = lambda x: lanes.select(F.col("node").alias(x), F.col("lanes").alias(f"lanes_{x}"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    most = total(F.zip_with("lanes_a", "lanes_b", lambda x, y: F.least(x, y)))
+    return both.filter(most * (100 + percent) >= (total(F.col("lanes_a")) + total(F.col("lanes_b"))) * percent).select("a", "b")
+
+
 def verified(pairs: DataFrame, node_texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b, similar of pairs a, b; node_texts: node, text. Each text is joined to the pairs of its node."""
     left = pairs.join(node_texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(node_texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def likely(x: np.ndarray, y: np.ndarray, least: int) -> bool:
-        """Suffix filter: pivots part both sets; the overlap is no more than the sum of the smaller parts."""
-        pivots = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-        parts = [np.diff(np.searchsorted(s, pivots), prepend=0, append=len(s)) for s in (x, y)]
-        return int(np.minimum(*parts).sum()) >= least
-
     def run(batches):
+        lean()
         for big in batches:
-            for batch in by_bytes(big, "text_b", 2 << 20):
+            for batch in by_bytes(big, "text_b"):
                 # a hub's text comes with each of its pairs: made into a set once a batch
                 nodes_a, nodes_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 at: dict[int, int] = {}
@@ -172,9 +209,7 @@ def verified(pairs: DataFrame, node_texts: DataFrame, n: int, percent: int) -> D
                 similar = []
                 for p, q in zip(nodes_a, nodes_b, strict=True):
                     x, y = sets[at[p]], sets[at[q]]
-                    least = need(len(x) + len(y), percent)
-                    ok = min(len(x), len(y)) >= least and likely(x, y, least)
-                    similar.append(ok and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+                    similar.append(len(np.intersect1d(x, y, assume_unique=True)) >= need(len(x) + len(y), percent))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similar boolean")
@@ -186,14 +221,30 @@ def _as_pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many n-grams each set of `left` (places) has in common with each of `right`."""
+    """How many n-grams each set of `left` (places) has in common with each of `right`.
+
+    Of an n-gram that most sets have, the sets without it are listed: x y = 1 - x' - y' + x' y'. Near copies of one text
+    then differ in few n-grams, and few products are left.
+    """
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    most = 2 * count > len(sets)
+    missing = np.zeros(len(sets), dtype=np.float32)
+    dense = np.flatnonzero(most)
+    own = most[column]
+    if len(dense):
+        has = np.zeros((len(sets), len(dense)), dtype=bool)
+        has[row[own], (np.cumsum(most) - 1)[column[own]]] = True
+        r, c = np.nonzero(~has)
+        del has
+        missing += np.bincount(r, minlength=len(sets))
+        row, column = np.concatenate([row[~own], r]), np.concatenate([column[~own], dense[c]])
+    count = np.bincount(column, minlength=len(count))
     shared = count[column] > 1
     row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    out = len(dense) - missing[left][:, None] - missing[right][None, :]
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         x, y = np.searchsorted(column, [a, a + COLUMNS])
         held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - a)), dtype=np.float32)
@@ -252,27 +303,30 @@ def links_of(linked: DataFrame, nodes: DataFrame, node_texts: DataFrame, n: int,
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", links_too: bool = False, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row and, with links_too, n_links: the
     other rows that it links with, copies included."""
-    rows, rank = documents_and_counts(docs, n, doc_id, text, percent)
+    rows, rank = documents_and_counts(docs, n, doc_id, text)
     live = cut(postings(docs, rank, n, percent, text))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    # texts of the nodes that have postings, once each
-    wanted = live.select("node").distinct().join(nodes.select("node", "id"), "node")
-    by_id = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id")
-    node_texts = cut(_only_own(by_id))
+    # what the nodes that have postings hold, once each
+    wanted = cut(live.select("node").distinct())
+    lanes = cut(rows.select("node", "lanes").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    node_texts = cut(texts_of(docs, text, wanted))
     # pivot round; an edited copy's own n-grams are rare and come first, so the node that has an n-gram earliest is the
     # likeliest to be what the others were made from
     hubs = cut(live.groupBy("gram").agg(F.min(F.struct("pos", "node", "size")).alias("h")).select("gram", "h.*"))
     tried = live.alias("x").join(hubs.alias("y"), "gram").filter("x.node <> y.node").filter(admitted("x", "y", percent))
-    first = cut(verified(_as_pairs(tried, "x", "y"), node_texts, n, percent))
+    first = cut(verified(possible(_as_pairs(tried, "x", "y"), lanes, percent), node_texts, n, percent))
     links = first.filter("similar").select("a", "b")
     comp = components(links).withColumnRenamed("id", "node")
+    # written tables go as soon as nothing reads them any more
     # last round: postings of n-grams whose nodes are not of one component yet
     placed = cut(live.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    drop(live, hubs, wanted)
     mixed = cut(placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram"))
     open_ = cut(placed.join(mixed, "gram"))
     across = open_.alias("x").join(open_.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & admitted("x", "y", percent))
     left = _as_pairs(across, "x", "y").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    last = cut(verified(left, node_texts, n, percent).filter("similar").select("a", "b"))
+    last = cut(verified(possible(left, lanes, percent), node_texts, n, percent).filter("similar").select("a", "b"))
+    drop(placed, mixed, open_, lanes)
     linked = components(links.unionByName(last)).withColumnRenamed("id", "node")
     named = cut(nodes.join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
     least = cut(named.groupBy("component").agg(F.min("id").alias("component_id")))
@@ -281,29 +335,12 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "do
         own = links_of(linked, nodes, node_texts, n, percent, n_buckets(docs)[0], block)
         of_node = of_node.join(nodes.select("node", "copies"), "node").join(own, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     of_node = cut(of_node)
+    drop(first, last, nodes, named, least, node_texts)
     more = ["n_links"] * links_too
     full = rows.filter("n_shingles > 0").join(of_node, "node", "left").select("id", "n_shingles", "component_id", *more)
     none = rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in more])
     return full.unionByName(none).withColumnRenamed("id", doc_id)
 
 
-def _only_own(rows: DataFrame) -> DataFrame:
-    """node, text: where an id is repeated, the row whose text has the node's words, and one of those with equal words."""
-
-    def run(batches):
-        for big in batches:
-            for batch in by_bytes(big, "text"):
-                _, whole = _sets(raw_column(batch, "text"), 1)
-                same = whole.view(np.int64) == batch.column("node").to_numpy()
-                yield batch.select(["node", "text"]).filter(pa.array(same))
-
-    return rows.select("node", "text").mapInArrow(run, "node bigint, text string").dropDuplicates(["node"])
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
-
-
-def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join with its number of links: the columns of op1_ngram_jaccard_join, which its SQL fixes, and n_links."""
     return ngram_join(table(spark, sf_dir, "documents"), links_too=True)

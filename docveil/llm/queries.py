@@ -6,7 +6,7 @@ from .byte_bpe import op9_byte_bpe
 from .fingerprint import op5_fingerprint
 from .language_id import op3_language_id
 from .near_vectors import op2_embedding_near_dedup
-from .ngram_join import op1_ngram_jaccard_join, op1_ngram_jaccard_links
+from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
 from .quality import op10_quality
 from .substring import op6_substring_dedup
@@ -15,7 +15,6 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
@@ -38,8 +37,9 @@ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 5 THEN list_transform(r
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
-ids AS (SELECT doc_id AS id FROM documents), {_REACH}
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN named ON named.id = w.doc_id""",
+ids AS (SELECT doc_id AS id FROM documents), {_REACH},
+of_doc AS (SELECT a AS doc_id, count(*) AS n_links FROM both_ways GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN of_doc ON of_doc.doc_id = w.doc_id JOIN named ON named.id = w.doc_id""",
     "op2_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
