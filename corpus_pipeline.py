@@ -24,32 +24,51 @@ LEAST_SCORE = 0.35
 LEAST_QUALITY = 0.5
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    """The columns that a model reads, and all columns as one, so that no name can clash."""
-    return docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under names that nothing else has, so that none can clash, and those names by column."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(new).alias(c) for c, new in names.items()])
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of unknown language (null, empty and letterless ones too) or of an unsure one."""
-    return language_id(_row(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    """Drops documents of unknown language (null, empty and letterless ones too) or of an unsure one. Repeated rows and
+    rows with a null id are judged like any other; columns of any name are carried along."""
+    rows, at = _apart(docs)
+    out = language_id(rows, doc_id=at["doc_id"], text=at["text"], lang=at["lang"])
+    return _back(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), at)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects; it learns from labels of documents that are still there."""
+    """Drops documents that the quality classifier rejects; it learns from labels of documents that are still there, and
+    keeps all if these have fewer than two grades. Null and empty texts, null ids and repeated rows are judged like any other."""
     model = trained(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if len(model.grades) < 2:
         return docs  # nothing was learned that could reject a document
-    return quality(_row(docs).drop("lang"), model).filter(F.col("tail_prob") >= LEAST_QUALITY).select("row.*")
+    rows, at = _apart(docs)
+    return _back(quality(rows, model, doc_id=at["doc_id"], text=at["text"]).filter(F.col("tail_prob") >= LEAST_QUALITY), at)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, once."""
-    kept = ngram_join(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """Keeps one document of each group of near duplicates: the one with the smallest id, of equal ids the one with the
+    smallest hash of its text, one with a null id only where no other is there. Of rows with equal id and text, one stays.
+    A document without words is a group by itself."""
+    rows, at = _apart(docs)
+    doc_id, text = F.col(at["doc_id"]), F.col(at["text"])
+    # orders rows as their ids do and tells rows with different texts apart
+    key = F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.isNull().alias("no_text"), F.xxhash64(text).alias("hash"))
+    rows = rows.withColumn("key", key)
+    joined = ngram_join(rows.select("key", at["text"]), doc_id="key", text=at["text"])
+    kept = joined.filter(F.col("key") == F.col("component_id")).select("key").distinct()
+    return _back(rows.join(kept, "key", "left_semi").dropDuplicates(["key"]), at)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes words in repeated windows of 35 words out of the texts; a text with nothing to remove stays as it is."""
+    """Takes words in repeated windows of 35 words out of the texts; a text with nothing to remove stays as it is, a null one
+    becomes empty. Rows that repeat count as occurrences of each other."""
     out = without_repeats(docs, carry=True, as_it_was=True)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     columns = [(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
@@ -57,7 +76,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 ids in sequences."""
+    """Pieces of at most 2048 ids in sequences. A null or empty text is the end id alone; repeated rows are packed once each."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -113,6 +113,35 @@ def test_ngram_join_counts_links(spark, block):
     assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and max(want.values()) > 10
 
 
+def test_null_and_repeated_ids_link(spark):
+    """Links run through rows without an id, and through rows that share one."""
+    a = passage(1, 60).split()
+    near = lambda *at: " ".join("new" + str(k) if k in at else w for k, w in enumerate(a))
+    rows = [(1, near()), (None, near(10)), (3, near(10, 30)), (7, "nothing of the kind " * 3), (7, near(10, 31)), (None, None), (None, "alone in the world of words")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=75).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (0, 2, 0), (0, 56, 1), (1, 56, 1), (3, 56, 1), (7, 4, 7), (7, 56, 1)]
+
+
+def test_suffix_filter(spark):
+    """Pairs that pass hold all that link; one that can't link by its ranges is left out."""
+    own = np.random.default_rng(4)
+    base = own.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(x) for x in (base, np.concatenate([base[:180], own.integers(0, 2**63, 20, dtype=np.uint64)]), own.integers(0, 2**63, 200, dtype=np.uint64), base[:160])]
+    lanes = spark.createDataFrame([(i, np.bincount((x >> np.uint64(58)).astype(int), minlength=64).tolist()) for i, x in enumerate(sets)], "node long, lanes array<int>")
+    pairs = list(combinations(range(4), 2))
+    kept = {tuple(r) for r in ngram_join.possible(spark.createDataFrame(pairs, "a long, b long"), lanes, 75).collect()}
+    linked = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= kept and (0, 2) not in kept
+
+
+def test_overlaps():
+    own = np.random.default_rng(6)
+    base = np.arange(50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([np.delete(base, own.integers(0, 50, 5)), own.integers(40, 90, 6).astype(np.uint64)])) for _ in range(9)] + [np.array([200, 201], dtype=np.uint64)]
+    got = ngram_join.overlaps(sets, np.arange(10), np.arange(10))
+    assert all(i == j or got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(10) for j in range(10))
+
+
 def test_substring_dedup(docs):
     own = {i: words(t) for i, t in plain(docs).items()}
     seen = Counter(tuple(w[k : k + 35]) for w in own.values() for k in range(len(w) - 34))
@@ -186,6 +215,8 @@ def test_near_vectors(spark, cell_rows):
     links = [(a, b) for a, b in combinations(sound, 2) if sound[a][1] == sound[b][1] and len(sound[a][0]) == len(sound[b][0]) and sound[a][0] @ sound[b][0] >= 0.98]
     n = Counter(x for e in links for x in e)
     comp = roots([r[0] for r in rows], links)
+    lone = near_vectors.near_vectors(spark.createDataFrame([(1, rows[0][1], 0), (None, rows[0][1], 0), (3, rows[0][1], 0)], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in lone) == [(0, 0, 0, True), (1, 1, 1, True), (3, 1, 1, False)]
     assert got == {i: (n[i], comp[i], comp[i] == i) for i, _, _ in rows} and len(links) > 40
 
 
@@ -307,9 +338,111 @@ def test_next_document_over_uneven_ids(spark):
     assert {(r["id"], r["text"]): r["next_text"] for r in got.collect()} == {w: want[(k + 1) % len(want)][1] for k, w in enumerate(want)}
 
 
+def test_runs_of_any_ids(spark):
+    """Ids at both ends of their type, and an outlier beside dense ids: rows stay spread over runs."""
+    ids = [*range(3000), 10**15, 9 * 10**18, -9 * 10**18, 2**63 - 1, -(2**63)]
+    rows = fingerprint.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string"), run_rows=100).filter("lent = 0").collect()
+    want = sorted(ids)
+    assert {r["id"]: r["next_text"] for r in rows} == {i: f"t{want[(k + 1) % len(want)]}" for k, i in enumerate(want)}
+    assert max(Counter(r["run"] for r in rows).values()) < 400 and len(fingerprint.edited_documents(spark.createDataFrame([(i, "a b") for i in ids[-5:]], "doc_id long, text string")).collect()) == 5
+
+
+def test_likeness_of_lanes(spark):
+    """Lanes and likeness against plain Python: nibbles of Spark's hash of each unit, summed, then a centred cosine."""
+    texts = ["one two three four five\nsix seven", "one two three four\nsix seven", "nothing alike here at all", ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    units = df.select("doc_id", F.explode(fingerprint.units(F.col("text"))).alias("u")).select("doc_id", "u", *[F.xxhash64("u", F.lit(k)).alias(f"h{k}") for k in range(8)]).collect()
+    words = lambda t: [" ".join(w) for line in t.split("\n") for w in [line.split()[i : i + 4] for i in range(0, len(line.split()), 4)]]
+    assert {(r["doc_id"], r["u"]) for r in units} == {(i, u) for i, t in rows for u in [*("\n" + x for x in t.split("\n") if x), *words(t)]}
+    own = {i: np.zeros(128) for i, _ in rows}
+    n = Counter(r["doc_id"] for r in units)
+    for r in units:
+        own[r["doc_id"]] += [(r[f"h{k}"] >> shift) & 15 for k in range(8) for s in range(0, 32, 4) for shift in (s, s + 32)]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(df, ["doc_id"]).collect()}
+    assert all(list(got[i]["lanes"]) == own[i].tolist() and got[i]["fingerprint"] == "".join(f"{int(x):05x}" for x in own[i]) for i in own)
+    centred = {i: own[i] - 7.5 * n[i] for i in own}
+    pairs = df.alias("a").join(df.alias("b"), F.col("a.doc_id") <= F.col("b.doc_id")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    lanes = fingerprint.fingerprints(df, ["doc_id"])
+    both = pairs.join(lanes.select(F.col("doc_id").alias("a"), F.col("lanes").alias("x"), F.col("n_units").alias("n")), "a").join(lanes.select(F.col("doc_id").alias("b"), F.col("lanes").alias("y"), F.col("n_units").alias("m")), "b")
+    for r in both.select("a", "b", fingerprint.likeness(F.col("x"), F.col("n"), F.col("y"), F.col("m")).alias("s")).collect():
+        a, b = centred[r["a"]], centred[r["b"]]
+        want = 1.0 if r["a"] == r["b"] else 0.0 if not a.any() or not b.any() else max(0.0, a @ b / np.sqrt(a @ a * (b @ b)))
+        assert abs(r["s"] - want) < 1e-9
+
+
 # ---- classifiers ----
 
 
+def test_code_switched_words(labelled):
+    """Words of texts spliced from two languages, which the model hasn't seen, are labelled in runs."""
+    docs, _ = labelled
+    rows = [r for r in docs.collect() if r["text"] and len(r["text"].split()) > 60]
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5][:250]
+    model = language_id.learn([r["text"].encode() for r in train], [r["lang"] for r in train], rounds=15)
+    assert (model.transitions.argmax(1) == np.arange(len(model.labels))).all()
+    test, right, runs_ = held(rows), [], []
+    for a, b in [(a, b) for a, b in zip(test, test[1:], strict=False) if a["lang"] != b["lang"]][:20]:
+        own = [*a["text"].split()[:30], *b["text"].split()[20:50]]
+        got = model.word_labels(" ".join(own).encode())
+        assert [w for w, _ in got] == own
+        right += [x == g for (_, x), g in zip(got, [a["lang"]] * 30 + [b["lang"]] * 30, strict=True) if x != "und"]
+        runs_.append(sum(1 for x, y in zip(got, got[1:], strict=False) if x[1] != y[1] and "und" not in (x[1], y[1])))
+    assert len(runs_) > 5 and np.mean(right) > 0.9 and np.median(runs_) <= 4
+
+
+def test_language_spans(spark, labelled):
+    docs, _ = labelled
+    model = language_id.trained(docs, sample_docs=200, rounds=10)
+    rows = spark.createDataFrame([(1, "the house is on the hill and we went there"), (2, None), (3, "12 34")], "doc_id long, text string")
+    out = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in language_id.spans(rows, model).collect()}
+    assert out[2] == [] and out[3] == [(0, 2, "und")] and sum(n for _, n, _ in out[1]) == 10
+
+
+def test_all_swaps_count():
+    """Every name in every sentence is swapped for all others of its kind, however many there are."""
+    text = ". ".join(f"the women and the men of town {k} met" for k in range(50))
+    got = toxicity.swaps(text)
+    others = len(toxicity._KIND["women"]) - 1
+    assert sum(got.values()) == 50 * 2 * others
+    a, b = toxicity.features("the women of town met"), toxicity.features("the girls of town met")
+    assert (frozenset(a - b), frozenset(b - a)) in toxicity.swaps("the women of town met")
+
+
+def test_whole_words_count():
+    """What follows the first letters of a long word changes its features."""
+    shape = lambda w: quality.word_facts([w.encode()])[0]
+    a, b = "a1" * 2500, "a1" * 2499 + "a-"
+    assert shape(a)[0] != shape(b)[0] and shape(a)[2] == 5000
+
+
+def test_ordinal_learning_against_plain_gradients():
+    """The learned thresholds and weights are near a stationary point of the plain log-likelihood."""
+    own = np.random.default_rng(8)
+    texts = [(" ".join(own.choice(["word", "Word", "w0rd", "%%", "12"], 30, p=[0.5 - g / 10, 0.1, 0.1, 0.2 + g / 10, 0.1]))).encode() for g in (0, 1, 2, 3) for _ in range(40)]
+    y = np.repeat(np.arange(4), 40)
+    model = quality.learn(texts, y.tolist(), rounds=3000, decay=0.0)
+    assert (np.diff(model.thresholds) > 0).all()
+    row, feature, value = quality.vectors(pieces.Ids(quality.word_facts, code="i"), texts)
+
+    def loss(thresholds, weights):
+        x = np.bincount(row, weights[feature] * value, minlength=len(texts))
+        below = np.hstack([np.zeros((len(y), 1)), 1 / (1 + np.exp(-(thresholds[None] - x[:, None]))), np.ones((len(y), 1))])
+        return -np.log(np.diff(below, axis=1)[np.arange(len(y)), y]).mean()
+
+    at = loss(model.thresholds, model.weights)
+    for k in range(3):  # no threshold can be moved to make the likelihood better by much
+        for step in (-0.2, 0.2):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert not (np.diff(moved) > 0).all() or loss(moved, model.weights) > at - 2e-3
+    assert at < loss(np.log(np.array([1, 2, 3]) / np.array([3, 2, 1])), np.zeros_like(model.weights))
+    p = model.probabilities(pieces.Ids(quality.word_facts, code="i"), texts)
+    x = np.bincount(row, model.weights[feature] * value, minlength=len(texts))
+    tail = [[1 / (1 + np.exp(t - v)) for t in model.thresholds] for v in x]
+    assert np.allclose(p[:, 2:].sum(1), [t[1] for t in tail])
+
+
 def test_forward_backward_is_exact():
     """Against the sum over all paths, over texts shorter and longer than a segment."""
     own = np.random.default_rng(2)

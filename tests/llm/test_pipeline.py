@@ -87,3 +87,30 @@ def test_packed(stages):
 
 def test_run(spark, stages):
     assert sorted(C.run(spark, SF).select("doc_id", "length").collect()) == sorted(stages[4][1].select("doc_id", "length").collect())
+
+
+def test_one_of_each_group_by_rows(spark):
+    """Repeated and null ids, clashing columns: rows are told apart by id and text."""
+    a = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*a[:k], "new", *a[k + 1 :]])
+    rows = [(1, " ".join(a), 0.5), (5, near(30), 0.1), (5, "another text of its own here", 0.2), (None, near(10), 0.3), (None, "lonely words without an id", 0.4), (None, None, 0.5), (7, "", 0.6), (7, "", 0.6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), x) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, key double")
+    out = C.one_of_each_group(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, ""), (0, "lonely words without an id"), (1, " ".join(a)), (5, "another text of its own here"), (7, "")]
+
+
+def test_awkward_rows_through_all_stages(spark):
+    """Null, empty, repeated and very long rows, and columns that clash with the operators' own."""
+    long = " ".join(f"word{k}" for k in range(300_000))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    more = spark.createDataFrame([(None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, long, "en", "s", len(long)), (None, "the same row twice here", "en", "s", 23), (None, "the same row twice here", "en", "s", 23)], docs.schema)
+    docs = docs.unionByName(more)
+    for name in ("score", "row", "held_out", "tail_prob"):
+        docs = docs.withColumn(name, docs["doc_id"] * 2)
+    for _, stage in C.STAGES[:-1]:
+        docs = C.cut(stage(spark, docs, SF))
+        assert {"score", "row", "held_out", "tail_prob"} <= set(docs.columns)
+        assert docs.filter("score <> doc_id * 2").count() == 0
+    rows = C.packed(spark, docs, SF).collect()
+    assert rows and {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").collect()}
