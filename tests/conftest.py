@@ -11,7 +11,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     own = (
-        SparkSession.builder.master("local[4]").appName("docveil-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        SparkSession.builder.master("local[8]").appName("docveil-tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     own.sparkContext.setLogLevel("ERROR")
