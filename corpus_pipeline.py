@@ -59,11 +59,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows, at = _apart(docs)
     doc_id, text = F.col(at["doc_id"]), F.col(at["text"])
     # orders rows as their ids do and tells rows with different texts apart
-    key = F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.isNull().alias("no_text"), F.xxhash64(text).alias("hash"))
-    rows = rows.withColumn("key", key)
-    joined = ngram_join(rows.select("key", at["text"]), doc_id="key", text=at["text"])
-    kept = joined.filter(F.col("key") == F.col("component_id")).select("key").distinct()
-    return _back(rows.join(kept, "key", "left_semi").dropDuplicates(["key"]), at)
+    key = {"none": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)), "no_text": text.isNull(), "hash": F.xxhash64(text)}
+    rows = rows.withColumns(key)
+    joined = ngram_join(rows.select(F.struct(*key).alias("key"), at["text"]), doc_id="key", text=at["text"])
+    kept = joined.filter(F.col("key") == F.col("component_id")).select("key.*").distinct()
+    # flat keys: so the rows are shuffled once for both
+    return _back(rows.join(kept, [*key], "left_semi").dropDuplicates([*key]), at)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
