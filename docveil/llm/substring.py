@@ -303,7 +303,7 @@ def repeated_windows(docs: DataFrame, length: int, k: int, group_rows: int) -> D
                 strings += [text[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
             yield _to_texts(*repeated(own, where, more, strings, length), 2 * partitions)
 
-    sent = left.select("key", "text", "places").mapInArrow(suffixes, row).repartition(partitions, "bucket")
+    sent = left.mapInArrow(suffixes, row).repartition(partitions, "bucket")
     return _gathered(sent.mapInArrow(trees, "bucket int, entries binary"), partitions)
 
 
