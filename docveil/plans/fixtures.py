@@ -26,6 +26,24 @@ SAMPLES = [
     "mail a.b+c@d-e.org, a.b+c@d-e.org; x@y.z",
     "",
 ]
+#: A text for each customer, as an expression that Spark and DuckDB both read: phone, identity, PAN and card numbers, valid and
+#: not, addresses of every rule, names and near misses, next to letters of other scripts.
+_K = "c_custkey"
+_LETTER = lambda x: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({x} % 26 AS INT) + 1, 1)"
+_PICK = lambda words, x: f"split_part('{words}', ',', CAST({x} % {len(words.split(','))} AS INT) + 1)"
+_PAD = lambda x, n: f"lpad(concat('', {x}), {n}, '0')"
+_ID = f"({_K} * 480061753 % 700000000000 + 200000000000)"
+_GIVEN, _FAMILY = _PICK("Ananya,Robert,Jane,Élise,Miguel", _K), _PICK("Sharma,Lee,Public,Rao,Engineer,Moreau,Q. Adams", f"({_K} * 5)")
+GENERATED = "concat(" + ", chr(10), ".join([
+    f"{_PICK('Name,Author,contact,Full name,Title', _K)}, ': ', {_GIVEN}, ' ', {_FAMILY}",
+    f"'met ', {_PICK('Dr.,Mr.,Miss,Sir,xDr.,éMr.', _K)}, ' ', {_FAMILY}, ' ', {_GIVEN}, ' ', {_PICK('Iyer,de,Singh and', _K)}, ' there'",
+    f"'call ', {_PICK('+91 ,91-,0,,0091 ,+91', _K)}, {_K} * 7919 % 50000 + 50000, {_PICK(' ,-,', _K)}, {_PAD(f'{_K} * 104729 % 100000', 5)}, {_PICK('.,  12345,1, now', _K)}",
+    f"'id ', {_PAD(f'CAST(floor({_ID} / 100000000) AS BIGINT)', 4)}, {_PICK(' ,-', _K)}, {_PAD(f'CAST(floor({_ID} / 10000) AS BIGINT) % 10000', 4)}, {_PICK('-, ', _K)}, {_PAD(f'{_ID} % 10000', 4)}",
+    f"'tax ', {_PICK(',é,_', _K)}, 'AB', {_LETTER(_K)}, {_LETTER(f'({_K} * 7)')}, {_LETTER(f'({_K} * 11)')}, {_PAD(f'{_K} % 97 * 31 % 1000', 4)}, {_LETTER(f'({_K} * 3)')}, ' end'",
+    f"{_PICK('Address: ,,réunit ,Residing at : ,', _K)}, {_K} % 4000, ' ', {_PICK('Park,Long,Old Hill,St. Mary,Évora', _K)}, ' ', {_PICK('Street,rd.,Lane,Plaza,Boulevard,drive', f'({_K} * 3)')}, {_PICK(', Springfield,, near the old mill', _K)}, ', ', {_PICK('OR,il,X', _K)}, ' ', {_PAD(f'{_K} * 13 % 100000', 5)}",
+    f"{_PICK('Flat,unit,P.O. Box,Block,éunit', _K)}, ' ', {_K} % 90, {_PICK(', Tower 2, Chennai, - see', _K)}",
+    f"{_PICK('Chennai,Anna Nagar West,X', _K)}, ' ', {_K} % 700, {_PICK(' PIN: , pincode , pin code - , pun ', _K)}, {_K} * 17 % 900000 + 100000, {_PICK(',0,x', _K)}",
+]) + ")"
 VALUES = ["John Smith", "jane@corp.com", "9876543210", "ab", "a", "", "  padded name  ", "@corp.com", "x@", "name with @sign", "Łódź", "café"]
 
 
@@ -34,6 +52,11 @@ def samples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(-1 - i, t) for i, t in enumerate(SAMPLES)], "doc_id long, text string")
 
 
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: one text for each customer, ids below those of samples()."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("-1000 - c_custkey AS doc_id", f"{GENERATED} AS text")
+
+
 def values(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v,) for v in VALUES], "v string")
 

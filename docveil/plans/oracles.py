@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed
 
-from .fixtures import SAMPLES, VALUES
+from .fixtures import GENERATED, SAMPLES, VALUES
 
 
 def q(s: str) -> str:
@@ -32,48 +32,152 @@ def luhn(x: str) -> str:
     return f"(list_sum(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0)"
 
 
-def candidates(docs: str, only: tuple[str, ...] = ("EMAIL", "PAN", "CARD")) -> str:
-    """CTEs up to `c`: doc_id, rule, pos, type, severity, raw."""
+MADE = f"SELECT -1000 - c_custkey AS doc_id, {GENERATED} AS text FROM customer"
+#: RE2 knows ASCII words alone: a letter or digit of another script becomes a word character that no pattern names, other
+#: white space a space, one character for one, so places stay
+PLAIN = lambda x: f"regexp_replace(regexp_replace({x}, {q(r'[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')}, ' ', 'g'), '[^\\x00-\\x7f]', '_', 'g')"
+BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def ascii_pattern(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+
+
+def matches(rows: str, columns: str, x: str, pattern: str) -> str:
+    """columns, pos, raw: all matches of a pattern in x of rows. Matches are marked, so their places are known and raw is
+    taken from x itself."""
+    return f"""SELECT {columns}, pos, substr({x}, CAST(list_sum(list_transform(pieces[1:pos], lambda y: length(y))) - pos + 2 AS BIGINT), strpos(pieces[pos + 1], chr(2)) - 1) AS raw
+ FROM (SELECT *, unnest(range(1, len(pieces))) AS pos FROM (SELECT {columns}, {x}, string_split(regexp_replace({PLAIN(x)}, {q(ascii_pattern(pattern))}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS pieces FROM {rows}) WHERE len(pieces) > 1)"""
+
+
+def verhoeff(x: str) -> str:
+    """The check digit of twelve digits, by the tables of the dihedral group written out as products."""
+    steps = "struct_pack(c := 0)"
+    for i in range(12):
+        digit = f"CAST(substr({x}, {12 - i}, 1) AS INTEGER)"
+        steps = f"list_transform([{steps}], lambda s: struct_pack(c := {_TIMES}[s.c * 10 + {_POWERS[i % 8]}[{digit} + 1] + 1]))[1]"
+    return f"({steps}.c = 0)"
+
+
+_TURN = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
+_POWERS = [list(range(10))]
+for _ in range(7):
+    _POWERS.append([_TURN[x] for x in _POWERS[-1]])
+#: products of two elements of the dihedral group of order ten: turns 0 to 4, flips 5 to 9
+_TIMES = [((a + b) % 5 if a < 5 else (a - b) % 5 + 5) if b < 5 else ((a + b) % 5 + 5 if a < 5 else (a - b) % 5) for a in range(10) for b in range(10)]
+SEP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\-]"
+ALL = ("EMAIL", "ADDRESS", "PHONE", "PAN", "AADHAAR", "CARD")
+
+
+def walked(name: str, chain: str, sep: str, ends: str) -> str:
+    """CTEs <name>_chains, <name>_walk, <name>: groups of digits, each a single separator from the next, matched from left to
+    right; ends: the last group of a match from group i on (n: its digits up to group j, s: that string), or null."""
+    last = f"(SELECT {ends} FROM (SELECT j, array_to_string(g[{{i}}:j], '') AS s, plus AND {{i}} = 1 AS signed, g[{{i}}] AS head, list_transform(range({{i}}, j), lambda k: CAST(list_sum(list_transform(g[{{i}}:k], lambda y: length(y))) AS BIGINT)) AS cuts FROM range({{i}}, least({{i}} + 18, len(g)) + 1) r(j)))"
+    return rf"""{name}_chains AS (SELECT doc_id, chain, starts_with(s, '+') AS plus, regexp_extract_all(s, '[0-9]+') AS g, regexp_extract_all(s, {q(sep)}) AS seps FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS chain FROM (SELECT doc_id, regexp_extract_all(text, {q(chain)}) AS l FROM d)) WHERE length(s) >= 10),
+{name}_walk AS (
+  SELECT doc_id, chain, plus, g, seps, 1 AS i, {last.format(i=1)} AS j FROM {name}_chains
+  UNION ALL
+  SELECT doc_id, chain, plus, g, seps, n, {last.format(i='n')} FROM (SELECT *, CAST(coalesce(j, i) + 1 AS INTEGER) AS n FROM {name}_walk) WHERE n <= len(g)
+),
+{name} AS (SELECT doc_id, chain * 1000000 + i AS pos, array_to_string(g[i:j], '') AS digits, array_to_string(list_transform(range(i, j + 1), lambda k: g[k] || CASE WHEN k < j THEN seps[k] ELSE '' END), '') AS bare, plus AND i = 1 AS signed FROM {name}_walk WHERE j IS NOT NULL)"""
+
+
+def candidates(docs: str, only: tuple[str, ...] = ALL) -> str:
+    """CTEs up to `c`: doc_id, rule, line, sub, pos, type, severity, raw."""
     flat = lambda pattern, group=0: f"SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, {q(pattern)}, {group}) AS l FROM d)"
-    rules = {
-        "EMAIL": "SELECT doc_id, 1 AS rule, pos, 'EMAIL' AS type, 'MEDIUM' AS severity, raw FROM emails",
-        # a word character of any script before or after makes it part of a longer word
-        "PAN": "SELECT doc_id, 4 AS rule, pos, 'PAN' AS type, 'HIGH' AS severity, raw FROM pans WHERE regexp_matches(raw, '^[A-Z]{3}[ABCFGHJKLPT][A-Z][0-9]{4}[A-Z]$') AND substr(raw, 6, 4) <> '0000'",
-        "CARD": f"SELECT doc_id, 6 AS rule, chain * 1000000 + i AS pos, 'CARD' AS type, 'CRITICAL' AS severity, raw FROM cards WHERE {luhn('digits')}",
-    }
-    return rf"""d AS ({docs}),
-emails AS ({flat(fixed.EMAIL)}),
-pan_words AS ({flat(r'[\pL\pN_]+')}),
-pans AS (SELECT * FROM pan_words WHERE regexp_matches(raw, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$')),
-chains AS (SELECT doc_id, chain, regexp_extract_all(s, '[0-9]+') AS g, regexp_extract_all(s, '[ \-]') AS seps FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS chain FROM (SELECT doc_id, regexp_extract_all(text, '[0-9](?:[ \-]?[0-9])*[ \-]?') AS l FROM d)) WHERE length(s) >= 13),
+    row = lambda rule, type_, severity, rest: f"SELECT doc_id, {rule} AS rule, 0 AS line, 0 AS sub, pos, '{type_}' AS type, '{severity}' AS severity, {rest}"
+    # of several beginnings of a phone number, the first that leaves ten digits up to a group's end
+    phone_ends = "coalesce(min(CASE WHEN signed AND length(s) = 12 AND starts_with(head, '91') THEN j END), min(CASE WHEN length(s) = 14 AND starts_with(head, '0091') THEN j END), min(CASE WHEN length(s) = 12 AND starts_with(head, '91') THEN j END), min(CASE WHEN length(s) = 11 AND starts_with(s, '0') AND length(head) > 1 THEN j END), min(CASE WHEN length(s) = 10 THEN j END))"
+    card_ends = "max(CASE WHEN length(s) BETWEEN 13 AND 19 THEN j END)"
+    aadhaar_ends = "max(CASE WHEN length(s) = 12 AND len(list_filter(cuts, lambda x: x NOT IN (4, 8))) = 0 THEN j END)"
+    tables = {
+        "EMAIL": f"emails AS ({flat(fixed.EMAIL)})",
+        "PAN": rf"""pan_words AS ({flat(r'[\pL\pN_]+')}),
+pans AS (SELECT * FROM pan_words WHERE regexp_matches(raw, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$'))""",
+        "CARD": rf"""chains AS (SELECT doc_id, chain, regexp_extract_all(s, '[0-9]+') AS g, regexp_extract_all(s, '[ \-]') AS seps FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS chain FROM (SELECT doc_id, regexp_extract_all(text, '[0-9](?:[ \-]?[0-9])*[ \-]?') AS l FROM d)) WHERE length(s) >= 13),
 walk AS (
   SELECT doc_id, chain, g, seps, 1 AS i, (SELECT max(j) FROM range(1, len(g) + 1) r(j) WHERE list_sum(list_transform(g[1:j], lambda x: length(x))) BETWEEN 13 AND 19) AS j FROM chains
   UNION ALL
   SELECT doc_id, chain, g, seps, n, (SELECT max(j) FROM range(n, len(g) + 1) r(j) WHERE list_sum(list_transform(g[n:j], lambda x: length(x))) BETWEEN 13 AND 19)
   FROM (SELECT *, CAST(coalesce(j, i) + 1 AS INTEGER) AS n FROM walk) WHERE n <= len(g)
 ),
-cards AS (SELECT doc_id, chain, i, array_to_string(g[i:j], '') AS digits, array_to_string(list_transform(range(i, j + 1), lambda k: g[k] || CASE WHEN k < j OR j = len(g) THEN coalesce(seps[k], '') ELSE '' END), '') AS raw FROM walk WHERE j IS NOT NULL),
-c AS ({' UNION ALL '.join(rules[t] for t in only)})"""
+cards AS (SELECT doc_id, chain * 1000000 + i AS pos, array_to_string(g[i:j], '') AS digits, array_to_string(list_transform(range(i, j + 1), lambda k: g[k] || CASE WHEN k < j OR j = len(g) THEN coalesce(seps[k], '') ELSE '' END), '') AS raw FROM walk WHERE j IS NOT NULL)""",
+        "PHONE": walked("phones", rf"\+?[0-9]+(?:{SEP}[0-9]+)*", SEP, phone_ends),
+        "AADHAAR": walked("aadhaars", f"[0-9]+(?:{SEP}[0-9]+)*", SEP, aadhaar_ends),
+        "ADDRESS": f"""own_lines AS MATERIALIZED ({lines('SELECT * FROM d')}),
+free_lines AS MATERIALIZED (SELECT * FROM own_lines WHERE NOT regexp_matches(s, {q(ascii_pattern(fixed.ADDRESS_PREFIX))})),
+addresses AS (SELECT doc_id, line, 0 AS sub, 1 AS pos, {strip(f'regexp_extract(s, {q(ascii_pattern(fixed.ADDRESS_PREFIX))}, 1)')} AS raw, 5 AS least FROM own_lines WHERE regexp_matches(s, {q(ascii_pattern(fixed.ADDRESS_PREFIX))})
+ UNION ALL SELECT doc_id, line, 1, pos, regexp_replace({strip('raw')}, '[.,;]+$', ''), 8 FROM ({matches('free_lines', 'doc_id, line', 's', fixed.ADDRESS_STREET)})
+ UNION ALL SELECT doc_id, line, 2, pos, {strip('raw')}, 8 FROM ({matches('free_lines', 'doc_id, line', 's', fixed.ADDRESS_ZIP)})
+ UNION ALL SELECT doc_id, line, 3, pos, {strip('raw')}, 8 FROM ({matches('free_lines', 'doc_id, line', 's', fixed.ADDRESS_PIN)}))""",
+    }
+    bare_phone = "CASE WHEN length(digits) = 12 AND starts_with(digits, '91') THEN substr(digits, 3) WHEN length(digits) = 11 AND starts_with(digits, '0') THEN substr(digits, 2) ELSE digits END"
+    rules = {
+        "EMAIL": row(1, "EMAIL", "MEDIUM", "raw FROM emails"),
+        "ADDRESS": "SELECT doc_id, 2 AS rule, line, sub, pos, 'ADDRESS' AS type, 'HIGH' AS severity, raw FROM addresses WHERE length(raw) >= least",
+        "PHONE": row(3, "PHONE", "MEDIUM", f"CASE WHEN signed AND length(digits) = 12 AND starts_with(bare, '91') THEN '+' ELSE '' END || bare AS raw FROM phones WHERE regexp_matches({bare_phone}, '^[6-9][0-9]{{9}}$')"),
+        # a word character of any script before or after makes it part of a longer word
+        "PAN": row(4, "PAN", "HIGH", "raw FROM pans WHERE regexp_matches(raw, '^[A-Z]{3}[ABCFGHJKLPT][A-Z][0-9]{4}[A-Z]$') AND substr(raw, 6, 4) <> '0000'"),
+        "AADHAAR": row(5, "AADHAAR", "CRITICAL", f"bare AS raw FROM aadhaars WHERE regexp_matches(digits, '^[2-9]') AND digits <> reverse(digits) AND {verhoeff('digits')}"),
+        "CARD": row(6, "CARD", "CRITICAL", f"raw FROM cards WHERE {luhn('digits')}"),
+    }
+    return f"d AS MATERIALIZED ({docs}),\n" + ",\n".join(tables[t] for t in only) + f",\nc AS ({' UNION ALL '.join(rules[t] for t in only)})"
 
 
-def once(docs: str, only=("EMAIL", "PAN", "CARD")) -> str:
+def once(docs: str, only=ALL) -> str:
     """CTEs up to `o`: c with each value once, n from 0 in the order of findings."""
-    return f"{candidates(docs, only)}, firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, raw ORDER BY rule, pos) AS k FROM c), o AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY doc_id ORDER BY rule, pos) - 1 AS n FROM firsts WHERE k = 1)"
+    return f"{candidates(docs, only)}, firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, raw ORDER BY rule, line, sub, pos) AS k FROM c), o AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY doc_id ORDER BY rule, line, sub, pos) - 1 AS n FROM firsts WHERE k = 1)"
 
 
 def detected(docs: str, type_: str) -> str:
     return f"WITH RECURSIVE {once(docs, (type_,))} SELECT doc_id, n, {q(type_)} AS type, (SELECT max(severity) FROM c) AS severity, raw FROM o"
 
 
+def lines(docs: str) -> str:
+    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS line, s FROM (SELECT doc_id, k, {strip('s')} AS s FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(text, {q(BREAKS)}) AS l FROM ({docs})))) WHERE s <> ''"
+
+
+def valid_name(v: str) -> str:
+    own = f"list_filter(list_transform(regexp_split_to_array({strip(v)}, '\\s+'), lambda w: trim(w, '.,;')), lambda w: w <> '')"
+    barred = "[" + ", ".join(q(w) for w in [*fixed.JOB_WORDS, *fixed.ADDRESS_WORDS]) + "]"
+    not_names = ", ".join(q(w) for w in fixed.NOT_NAMES)
+    return f"(lower({strip(v)}) NOT IN ({not_names}) AND len({own}) BETWEEN 1 AND 4 AND NOT list_has_any(list_transform({own}, lambda w: lower(w)), {barred}) AND len(list_filter({own}, lambda w: NOT regexp_matches(w, '^[A-Z][a-zA-Z.\\-]*$'))) = 0)"
+
+
+# prefixes for RE2, where Unicode classes are spelled out
+PREFIX = ascii_pattern(fixed.ADDRESS_PREFIX)
+NAME_PREFIX = ascii_pattern(fixed.NAME_PREFIX)
+
+
+def names() -> str:
+    """CTEs up to `names` (doc_id, n, raw) of the names in d: labelled, after an honorific, or alone on an early line."""
+    labelled = f"SELECT doc_id, {strip(f'regexp_extract(s, {q(NAME_PREFIX)}, 1)')} AS raw FROM name_lines WHERE regexp_matches(s, {q(NAME_PREFIX)})"
+    first_line = strip(f"regexp_extract(raw, {q('^[^' + chr(92) + 'n' + chr(92) + 'r]*')})")
+    return f"""name_lines AS MATERIALIZED ({lines('SELECT * FROM d')}),
+honorifics AS MATERIALIZED (SELECT doc_id, pos, {first_line} AS raw FROM ({matches('d', 'doc_id', 'text', fixed.NAME_HONORIFIC)})),
+guessed AS (SELECT DISTINCT doc_id, raw FROM (SELECT doc_id, raw FROM ({labelled}) WHERE raw <> '' AND {valid_name('raw')} UNION ALL SELECT doc_id, raw FROM honorifics UNION ALL SELECT doc_id, s FROM name_lines WHERE line < 6 AND {valid_name('s')})),
+anchored AS (SELECT DISTINCT doc_id, raw FROM (SELECT doc_id, {strip("CASE WHEN strpos(lower(text), lower(raw)) > 0 THEN substr(text, strpos(lower(text), lower(raw)), length(raw)) ELSE raw END")} AS raw FROM guessed JOIN d USING (doc_id)) WHERE raw <> ''),
+names AS (SELECT x.doc_id, x.raw, row_number() OVER (PARTITION BY x.doc_id ORDER BY length(x.raw) DESC, strpos(text, x.raw), x.raw) - 1 AS n FROM anchored x JOIN d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM anchored y WHERE y.doc_id = x.doc_id AND y.raw <> x.raw AND contains(y.raw, x.raw)))"""
+
+
 FAMILY = "CASE type " + " ".join(f"WHEN {q(t)} THEN {q(v[3])}" for t, v in fixed.TYPES.items() if v[3]) + " END"
 LABEL = "CASE type " + " ".join(f"WHEN {q(t)} THEN {q(v[0])}" for t, v in fixed.TYPES.items() if v[0]) + " ELSE 'REDACTED' END"
 MATRIX = values([(t, i, a) for t, x in fixed.POLICY.items() for i, a in zip(fixed.INTENTS, x.split(), strict=True)], "type", "intent", "action")
-F_CTE = f"{once(DOCS)}, f AS (SELECT doc_id, n, printf('f_%02d', n + 1) AS id, type, 'text' AS location, 'visible' AS visibility, severity, sha256(raw) AS value_hash, {FAMILY} || ' ' || row_number() OVER (PARTITION BY doc_id, {FAMILY} ORDER BY n) AS value_preview, raw FROM o)"
+TEXTS = f"{DOCS} UNION ALL {OWN} UNION ALL {MADE}"
 
 
-def decided(intent: str, extra: str = "") -> str:
+def found(docs: str) -> str:
+    """CTEs up to `f`: the numbered findings of all detectors and names."""
+    every = "every AS (SELECT doc_id, n, type, severity, raw FROM o UNION ALL SELECT names.doc_id, names.n + coalesce(k, 0), 'PERSON_NAME', 'MEDIUM', names.raw FROM names LEFT JOIN (SELECT doc_id, count(*) AS k FROM o GROUP BY doc_id) t ON t.doc_id = names.doc_id)"
+    return f"{once(docs)}, {names()}, {every}, f AS MATERIALIZED (SELECT doc_id, n, printf('f_%02d', n + 1) AS id, type, 'text' AS location, 'visible' AS visibility, severity, sha256(raw) AS value_hash, {FAMILY} || ' ' || row_number() OVER (PARTITION BY doc_id, {FAMILY} ORDER BY n) AS value_preview, raw FROM every)"
+
+
+F_CTE = found(TEXTS)
+
+
+def decided(intent: str, extra: str = "", docs: str = TEXTS) -> str:
     """CTEs up to `g`: f with decision."""
-    return f"{F_CTE}, m AS (SELECT * FROM {MATRIX}), g AS (SELECT f.*, CASE WHEN {q(intent)} = 'legal_hold' AND action = 'REMOVE' THEN 'KEEP' ELSE coalesce(action, 'WARN') END AS decision FROM f LEFT JOIN m ON f.type = m.type AND m.intent = {q(intent)}){extra}"
+    return f"{found(docs)}, m AS (SELECT * FROM {MATRIX}), g AS (SELECT f.*, CASE WHEN {q(intent)} = 'legal_hold' AND action = 'REMOVE' THEN 'KEEP' ELSE coalesce(action, 'WARN') END AS decision FROM f LEFT JOIN m ON f.type = m.type AND m.intent = {q(intent)}){extra}"
 
 
 MASK = f"""SELECT v, CASE WHEN s = '' THEN '' WHEN contains(s, '@') AND NOT contains(s, ' ') THEN CASE WHEN strpos(s, '@') > 1 THEN s[1] || repeat('*', strpos(s, '@') - 2) ELSE '' END || substr(s, strpos(s, '@'))
@@ -81,8 +185,8 @@ MASK = f"""SELECT v, CASE WHEN s = '' THEN '' WHEN contains(s, '@') AND NOT cont
 FROM (SELECT v, s, list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '') AS p FROM (SELECT v, {strip('v')} AS s FROM {values([(v,) for v in VALUES], 'v')}))"""
 
 OVERRIDDEN = "CASE WHEN n > 0 THEN decision WHEN doc_id % 3 = 0 THEN 'KEEP' WHEN doc_id % 5 = 0 THEN {remove} ELSE decision END"
-#: values one after the other, as the text's type order has them (EMAIL, PAN, CARD: the order of findings)
-REPLACED = """, due AS (SELECT doc_id, list(struct_pack(raw := raw, repl := {repl}) ORDER BY n) AS r FROM g WHERE decision = 'REMOVE' GROUP BY doc_id),
+#: values one after the other: by type, then as they were found
+REPLACED = """, due AS (SELECT doc_id, list(struct_pack(raw := raw, repl := {repl}) ORDER BY list_position(['EMAIL', 'PHONE', 'PAN', 'AADHAAR', 'CARD', 'PERSON_NAME', 'ADDRESS', 'USER_SPECIFIED'], type), n) AS r FROM g WHERE decision = 'REMOVE' GROUP BY doc_id),
 compiled AS (SELECT d.doc_id, d.text, CASE WHEN r IS NULL THEN d.text ELSE list_reduce(list_transform(r, lambda x: struct_pack(t := CAST(NULL AS VARCHAR), raw := x.raw, repl := x.repl)), lambda a, x: struct_pack(t := replace(a.t, x.raw, x.repl), raw := '', repl := ''), struct_pack(t := d.text, raw := '', repl := '')).t END AS output FROM d LEFT JOIN due USING (doc_id))"""
 TOKEN, BLACK = f"'[' || {LABEL} || ']'", "repeat('█', greatest(3, length(raw)))"
 HELD = lambda x: f"(contains({x}, raw) OR contains({x}, value_hash))"
@@ -91,40 +195,23 @@ GRID = "SELECT item_id AS doc_id, unnest(w) AS text, generate_subscripts(w, 1) -
 SURE = f"SELECT *, word_no // 15 AS block, (word_no // 5) % 3 AS line FROM ({GRID}) WHERE word_no % 11 <> 10 AND trim(text) <> ''"
 
 
-def lines(docs: str) -> str:
-    breaks = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
-    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS line, s FROM (SELECT doc_id, k, {strip('s')} AS s FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(text, {q(breaks)}) AS l FROM ({docs})))) WHERE s <> ''"
-
-
-BOTH = f"{DOCS} UNION ALL {OWN}"
-# prefixes for RE2, where Unicode classes are spelled out
-PREFIX = fixed.ADDRESS_PREFIX.replace("(?iU)", "(?i)")
-NAME_PREFIX = fixed.NAME_PREFIX.replace("(?iU)", "(?i)")
-
-
-def valid_name(v: str) -> str:
-    own = f"list_filter(list_transform(regexp_split_to_array({strip(v)}, '\\s+'), lambda w: trim(w, '.,;')), lambda w: w <> '')"
-    barred = "[" + ", ".join(q(w) for w in [*fixed.JOB_WORDS, *fixed.ADDRESS_WORDS]) + "]"
-    not_names = ", ".join(q(w) for w in fixed.NOT_NAMES)
-    return f"(lower({strip(v)}) NOT IN ({not_names}) AND len({own}) BETWEEN 1 AND 4 AND NOT list_has_any(list_transform({own}, lambda w: lower(w)), {barred}) AND len(list_filter({own}, lambda w: NOT regexp_matches(w, '^[A-Z][a-zA-Z.\\-]*$'))) = 0)"
-
-
-_TURN = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
-_POWERS = [list(range(10))]
-for _ in range(7):
-    _POWERS.append([_TURN[x] for x in _POWERS[-1]])
 _STEP = "CASE WHEN (c < 5) <> (p < 5) THEN 5 ELSE 0 END + (CASE WHEN c < 5 THEN c + p ELSE c - p + 10 END) % 5"
 
 ORACLES: dict[str, str] = {
     "checksums": f"""WITH RECURSIVE n AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '3') AS d FROM orders),
  w AS (SELECT o_orderkey, d, 0 AS i, 0 AS c FROM n UNION ALL SELECT o_orderkey, d, i + 1, {_STEP} FROM (SELECT *, {_POWERS}[i % 8 + 1][CAST(substr(d, 12 - i, 1) AS INTEGER) + 1] AS p FROM w) WHERE i < 12)
  SELECT o_orderkey, {luhn('d')} AS luhn, c = 0 AS verhoeff FROM w WHERE i = 12""",
-    **{f"detect_{t.lower()}": detected(DOCS, t) for t in ("EMAIL", "PAN", "CARD")},
+    "flagship": f"WITH RECURSIVE {decided('public_sharing', REPLACED.format(repl=TOKEN), DOCS)}, named AS (SELECT * FROM {values([(t, v[1], v[2]) for t, v in fixed.TYPES.items()], 'type', 'label', 'description')}) SELECT doc_id, n, id, g.type, location, visibility, value_hash, value_preview, severity, decision, CASE WHEN decision = 'REMOVE' THEN NOT {HELD('output')} END AS removed, CASE WHEN decision = 'REMOVE' THEN {HELD('text')} END AS evidence, label, description FROM g JOIN compiled USING (doc_id) JOIN named ON named.type = g.type",
+    "all_findings": f"WITH RECURSIVE {found(DOCS)} SELECT doc_id, n, id, type, value_hash, value_preview, severity FROM f",
+    **{f"detect_{t.lower()}": detected(f"{DOCS} UNION ALL {MADE}", t) for t in ALL},
     **{f"detect_{t.lower()}_pages": detected(PAGES, t) for t in ("EMAIL", "CARD")},
-    **{f"samples_{t.lower()}": detected(OWN, t) for t in ("EMAIL", "PAN", "CARD")},
-    "detect_address_prefix": f"SELECT doc_id, line, raw FROM (SELECT doc_id, line, {strip(f'regexp_extract(s, {q(PREFIX)}, 1)')} AS raw FROM ({lines(BOTH)}) WHERE regexp_matches(s, {q(PREFIX)})) WHERE length(raw) >= 5",
-    "name_prefix": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS n, raw FROM (SELECT doc_id, line, {strip(f'regexp_extract(s, {q(NAME_PREFIX)}, 1)')} AS raw FROM ({lines(BOTH)}) WHERE regexp_matches(s, {q(NAME_PREFIX)})) WHERE raw <> '' AND {valid_name('raw')}",
-    "name_toplines": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS n, s AS raw FROM ({lines(BOTH)}) WHERE line < 6 AND {valid_name('s')}",
+    **{f"samples_{t.lower()}": detected(OWN, t) for t in ALL},
+    "detect_address_prefix": f"SELECT doc_id, line, raw FROM (SELECT doc_id, line, {strip(f'regexp_extract(s, {q(PREFIX)}, 1)')} AS raw FROM ({lines(TEXTS)}) WHERE regexp_matches(s, {q(PREFIX)})) WHERE length(raw) >= 5",
+    "name_prefix": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS n, raw FROM (SELECT doc_id, line, {strip(f'regexp_extract(s, {q(NAME_PREFIX)}, 1)')} AS raw FROM ({lines(TEXTS)}) WHERE regexp_matches(s, {q(NAME_PREFIX)})) WHERE raw <> '' AND {valid_name('raw')}",
+    **{f"detect_address_{k}": f"WITH {candidates(TEXTS, ('ADDRESS',))} SELECT doc_id, line, raw FROM c WHERE sub = {i}" for i, k in ((1, "street"), (2, "zip"), (3, "pin"))},
+    "name_honorific": f"WITH d AS MATERIALIZED ({TEXTS}), {names()} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, raw FROM honorifics",
+    "name_dedup": f"WITH d AS MATERIALIZED ({TEXTS}), {names()} SELECT doc_id, n, 'PERSON_NAME' AS type, 'MEDIUM' AS severity, raw FROM names",
+    "name_toplines": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS n, s AS raw FROM ({lines(TEXTS)}) WHERE line < 6 AND {valid_name('s')}",
     "text_findings": f"WITH RECURSIVE {F_CTE} SELECT doc_id, n, id, type, location, visibility, severity, value_hash, value_preview FROM f",
     "mask": MASK,
     "hash": "SELECT doc_id, sha256(text) AS value_hash FROM documents",

@@ -23,18 +23,18 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
 
-#: detectors whose patterns SQL can express as well; the queries that are held against SQL see these alone, those of
-#: WHOLE (whole_ and the same name) are the same queries over all detectors and names
-BY_SQL = ["email", "pan", "card"]
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, the samples and the generated texts."""
+    return documents(spark, sf_dir).unionByName(fixtures.samples(spark)).unionByName(fixtures.generated(spark, sf_dir))
 
 
-def _analyzed(spark, sf_dir, whole: bool = False) -> DataFrame:
-    own = documents(spark, sf_dir)
-    return detect.text_findings(own) if whole else detect.text_findings(own, names=False, detectors=BY_SQL)
+def _analyzed(spark, sf_dir) -> DataFrame:
+    """All detectors and names over all texts."""
+    return detect.text_findings(texts(spark, sf_dir))
 
 
-def _findings(spark, sf_dir, whole: bool = False) -> DataFrame:
-    return detect.findings(_analyzed(spark, sf_dir, whole))
+def _findings(spark, sf_dir) -> DataFrame:
+    return detect.findings(_analyzed(spark, sf_dir))
 
 
 def _long(df: DataFrame, *columns: str) -> DataFrame:
@@ -44,14 +44,14 @@ def _long(df: DataFrame, *columns: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of every document for public sharing: decided, compiled, verified, without its value."""
     done = compile_text.verified(compile_text.compiled(compile_text.decided(detect.text_findings(documents(spark, sf_dir)), "public_sharing")))
-    return report.public(detect.findings(done))
+    return _long(report.public(detect.findings(done)), "n")
 
 
 # ---- detectors on whole tables ----
 
 
 def detect_query(detector: str, spark, sf_dir):
-    return detect.detect(documents(spark, sf_dir), detector)
+    return detect.detect(documents(spark, sf_dir).unionByName(fixtures.generated(spark, sf_dir)), detector)
 
 
 def detect_pages(detector: str, spark, sf_dir):
@@ -63,24 +63,23 @@ def samples_query(detector: str, spark, sf_dir):
 
 
 def address_query(rule: int, spark, sf_dir):
-    return detect.address_rule(documents(spark, sf_dir).unionByName(fixtures.samples(spark)), rule)
+    return detect.address_rule(texts(spark, sf_dir), rule)
 
 
 def name_query(rule: str, spark, sf_dir):
-    return detect.name_rule(documents(spark, sf_dir).unionByName(fixtures.samples(spark)), rule)
+    return detect.name_rule(texts(spark, sf_dir), rule)
 
 
 def name_dedup(spark, sf_dir):
-    return detect.detect(documents(spark, sf_dir).unionByName(fixtures.samples(spark)), "person_name")
+    return detect.detect(texts(spark, sf_dir), "person_name")
 
 
-def text_findings(spark, sf_dir, whole: bool = False):
-    return _long(_findings(spark, sf_dir, whole), "n").select("doc_id", "n", "id", "type", "location", "visibility", "severity", "value_hash", "value_preview")
+def text_findings(spark, sf_dir):
+    return _long(_findings(spark, sf_dir), "n").select("doc_id", "n", "id", "type", "location", "visibility", "severity", "value_hash", "value_preview")
 
 
 def all_findings(spark, sf_dir):
-    rows = detect.findings(detect.text_findings(documents(spark, sf_dir).unionByName(fixtures.samples(spark))))
-    return _long(rows, "n").select("doc_id", "n", "id", "type", "value_hash", "value_preview", "severity")
+    return _long(detect.findings(detect.text_findings(documents(spark, sf_dir))), "n").select("doc_id", "n", "id", "type", "value_hash", "value_preview", "severity")
 
 
 # ---- scalar functions ----
@@ -126,12 +125,12 @@ def policy_matrix(spark, sf_dir):
     return policy.policy_matrix(spark)
 
 
-def decide(intent: str, spark, sf_dir, whole: bool = False):
-    return _long(policy.decide(_findings(spark, sf_dir, whole), intent), "n").select("doc_id", "id", "type", "decision")
+def decide(intent: str, spark, sf_dir):
+    return _long(policy.decide(_findings(spark, sf_dir), intent), "n").select("doc_id", "id", "type", "decision")
 
 
-def decide_all(spark, sf_dir, whole: bool = False):
-    return policy.decide_all(_findings(spark, sf_dir, whole)).groupBy("type", "intent", "decision").agg(F.count(F.lit(1)).alias("n_findings"))
+def decide_all(spark, sf_dir):
+    return policy.decide_all(_findings(spark, sf_dir)).groupBy("type", "intent", "decision").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
 def _overrides(rows: DataFrame) -> DataFrame:
@@ -140,17 +139,17 @@ def _overrides(rows: DataFrame) -> DataFrame:
     return rows.filter("id = 'f_01'").select("doc_id", "id", choice.alias("choice")).filter("choice is not null")
 
 
-def overrides(intent: str, spark, sf_dir, whole: bool = False):
-    rows = _findings(spark, sf_dir, whole)
+def overrides(intent: str, spark, sf_dir):
+    rows = _findings(spark, sf_dir)
     return policy.apply_overrides(policy.decide(rows, intent), _overrides(rows), intent).select("doc_id", "id", "type", "decision")
 
 
-def judge_payload(spark, sf_dir, whole: bool = False):
-    return policy.judge_payload(policy.decide(_findings(spark, sf_dir, whole), "internal_sharing"))
+def judge_payload(spark, sf_dir):
+    return policy.judge_payload(policy.decide(_findings(spark, sf_dir), "internal_sharing"))
 
 
-def judge_clamp(spark, sf_dir, whole: bool = False):
-    rows = policy.decide(_findings(spark, sf_dir, whole), "internal_sharing")
+def judge_clamp(spark, sf_dir):
+    rows = policy.decide(_findings(spark, sf_dir), "internal_sharing")
     no = F.explode(F.array(F.lit(1), F.lit(2)))
     advice = rows.select("doc_id", "id", no.alias("advice_no")).select("doc_id", "id", "advice_no", F.when(F.col("advice_no") == 1, "REMOVE").when(F.col("doc_id") % 2 == 0, "WARN").otherwise("KEEP").alias("recommend"), F.when(F.col("doc_id") % 3 == 0, " look again ").otherwise(" ").alias("note"))
     return policy.apply_advice(rows, advice).select("doc_id", "id", "type", "decision", "note")
@@ -172,20 +171,20 @@ def custom_terms_broadcast(spark, sf_dir):
     return terms.corpus_terms(documents(spark, sf_dir), TERMS).groupBy("value_hash", "visibility").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-def compile_query(style: str, spark, sf_dir, whole: bool = False):
-    done = compile_text.compiled(compile_text.decided(_analyzed(spark, sf_dir, whole), "public_sharing"), style)
+def compile_query(style: str, spark, sf_dir):
+    done = compile_text.compiled(compile_text.decided(_analyzed(spark, sf_dir), "public_sharing"), style)
     return done.select("doc_id", S.sha256_hex("output").alias("output_sha256"))
 
 
-def verify(spark, sf_dir, whole: bool = False):
-    done = compile_text.verified(compile_text.compiled(compile_text.decided(_analyzed(spark, sf_dir, whole), "public_sharing")))
+def verify(spark, sf_dir):
+    done = compile_text.verified(compile_text.compiled(compile_text.decided(_analyzed(spark, sf_dir), "public_sharing")))
     return detect.findings(done).select("doc_id", "id", "type", "decision", "removed", "evidence")
 
 
-def verify_relation(spark, sf_dir, whole: bool = False):
+def verify_relation(spark, sf_dir):
     """The verifier on untouched texts: nothing was removed."""
-    rows = policy.decide(_findings(spark, sf_dir, whole), "public_sharing")
-    hay = documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    rows = policy.decide(_findings(spark, sf_dir), "public_sharing")
+    hay = texts(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return compile_text.verify_relation(rows, hay).select("doc_id", "id", "decision", "removed")
 
 
@@ -204,12 +203,12 @@ def own_coverage(spark, sf_dir):
     return report.coverage(spark, own=True).select("kind", "category", "checked")
 
 
-def report_by_type(spark, sf_dir, whole: bool = False):
-    return report.counts(policy.decide(_findings(spark, sf_dir, whole), "public_sharing"), "type", "severity", "decision")
+def report_by_type(spark, sf_dir):
+    return report.counts(policy.decide(_findings(spark, sf_dir), "public_sharing"), "type", "severity", "decision")
 
 
-def report_cube(spark, sf_dir, whole: bool = False):
-    return report.cube(policy.decide(_findings(spark, sf_dir, whole), "public_sharing")).withColumn("level", F.col("level").cast("long"))
+def report_cube(spark, sf_dir):
+    return report.cube(policy.decide(_findings(spark, sf_dir), "public_sharing")).withColumn("level", F.col("level").cast("long"))
 
 
 def exif_diff(spark, sf_dir):
@@ -300,7 +299,15 @@ def routing(spark, sf_dir):
     return files.with_kind(names).select("doc_id", "ext", "kind", files.media_type(F.col("ext")).alias("media_type"), files.output_name("path").alias("output_name"))
 
 
-_BY_SQL_QUERIES = {
+QUERIES = {
+    "flagship": flagship,
+    **{f"detect_{d}": partial(detect_query, d) for d in detect.DETECTORS},
+    "detect_email_pages": partial(detect_pages, "email"),
+    "detect_card_pages": partial(detect_pages, "card"),
+    **{f"samples_{d}": partial(samples_query, d) for d in detect.DETECTORS},
+    **{f"detect_address_{n}": partial(address_query, k) for k, n in enumerate(("prefix", "street", "zip", "pin"))},
+    **{f"name_{r}": partial(name_query, r) for r in ("prefix", "honorific", "toplines")},
+    "name_dedup": name_dedup,
     "text_findings": text_findings,
     **{f"decide_{i}": partial(decide, i) for i in fixed.INTENTS},
     "decide_all": decide_all,
@@ -314,20 +321,6 @@ _BY_SQL_QUERIES = {
     "verify_relation": verify_relation,
     "report_by_type": report_by_type,
     "report_cube": report_cube,
-}
-WHOLE = {f"whole_{name}": partial(f, whole=True) for name, f in _BY_SQL_QUERIES.items()}
-
-QUERIES = {
-    "flagship": flagship,
-    **{f"detect_{d}": partial(detect_query, d) for d in detect.DETECTORS},
-    "detect_email_pages": partial(detect_pages, "email"),
-    "detect_card_pages": partial(detect_pages, "card"),
-    **{f"samples_{d}": partial(samples_query, d) for d in detect.DETECTORS},
-    **{f"detect_address_{n}": partial(address_query, k) for k, n in enumerate(("prefix", "street", "zip", "pin"))},
-    **{f"name_{r}": partial(name_query, r) for r in ("prefix", "honorific", "toplines")},
-    "name_dedup": name_dedup,
-    **_BY_SQL_QUERIES,
-    **WHOLE,
     "all_findings": all_findings,
     "mask": mask,
     "hash": hash_,
