@@ -58,18 +58,22 @@ def line_addresses(line: Column, number: Column) -> Column:
     street = F.transform(_all(line, fixed.ADDRESS_STREET), lambda r: F.regexp_replace(S.strip(r), r"[.,;]+\z", ""))
     make = lambda raws, sub: _candidates(raws, 2, "ADDRESS", "HIGH", number, sub)
     rest = [make(F.filter(street, long_enough), 1)]
-    rest += [make(F.filter(F.transform(_all(line, p), S.strip), long_enough), k) for k, p in ((2, fixed.ADDRESS_ZIP), (3, fixed.ADDRESS_PIN))]
+    # the ends that these patterns need are looked for first: the patterns try a beginning at every word
+    for k, pattern, end in ((2, fixed.ADDRESS_ZIP, r"(?U),\s*[A-Z]{2}\s+\d{5}"), (3, fixed.ADDRESS_PIN, r"(?iU)pin(?:\s*code)?\s*[:\-]?\s*\d{6}")):
+        rest.append(F.when(line.rlike(end), make(F.filter(F.transform(_all(line, pattern), S.strip), long_enough), k)).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
     return F.when(line.rlike(fixed.ADDRESS_PREFIX), make(own, 0)).otherwise(F.concat(*rest))
 
 
-def addresses(text: Column) -> Column:
-    return F.flatten(F.transform(S.lines(text), line_addresses))
+def addresses(text: Column, own: Column | None = None) -> Column:
+    """own: the text's lines, if they are at hand."""
+    return F.flatten(F.transform(S.lines(text) if own is None else own, line_addresses))
 
 
 def _name_candidates(text: Column, own: Column) -> dict[str, Column]:
     """own: the text's lines."""
     labelled = F.transform(own, lambda line: S.strip(F.regexp_extract(line, fixed.NAME_PREFIX, 1)))
-    honorific = F.transform(_all(text, fixed.NAME_HONORIFIC), lambda r: S.strip(F.regexp_extract(r, r"\A[^\n\r]*", 0)))
+    titled = F.when(text.rlike(r"M(?:rs?|s)\.|Miss|Dr\.|Prof\.|Sir"), _all(text, fixed.NAME_HONORIFIC)).otherwise(F.array().cast("array<string>"))
+    honorific = F.transform(titled, lambda r: S.strip(F.regexp_extract(r, r"\A[^\n\r]*", 0)))
     return {"prefix": F.filter(labelled, lambda r: (r != "") & S.valid_name(r)), "honorific": honorific, "toplines": F.filter(F.slice(own, 1, 6), S.valid_name)}
 
 
@@ -82,21 +86,23 @@ def _anchored(text: Column, low: Column, found: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, one), lambda r: r != ""))
 
 
-def person_names(text: Column) -> Column:
-    """Names by label, by honorific and among the first six lines, as they first stand in the text; none within a longer one."""
+def person_names(text: Column, own: Column | None = None) -> Column:
+    """Names by label, by honorific and among the first six lines, as they first stand in the text; none within a longer one.
+    own: the text's lines, if they are at hand."""
 
     def outer(own):
         whole = F.filter(own, lambda r: ~F.exists(own, lambda s: (s != r) & F.contains(s, r)))
         return F.array_sort(F.transform(whole, lambda r: F.struct((-F.char_length(r)).alias("n"), F.call_function("locate", r, text).alias("at"), r.alias("raw"))))
 
-    found = S.let(S.lines(text), lambda own: F.array_distinct(F.concat(*_name_candidates(text, own).values())))
+    named = lambda own: F.array_distinct(F.concat(*_name_candidates(text, own).values()))
+    found = S.let(S.lines(text), named) if own is None else named(own)
     # most texts have none; then nothing is searched for
     keyed = S.let(found, lambda f: S.let(F.when(F.size(f) > 0, F.lower(text)), lambda low: S.let(_anchored(text, low, f), outer)))
     return _candidates(F.transform(keyed, lambda s: s["raw"]), 7, "PERSON_NAME", "MEDIUM")
 
 
 #: in the order of findings; the text detectors share the rule that a value is reported once
-DETECTORS: dict[str, Callable[[Column], Column]] = {"email": emails, "address": addresses, "phone": phones, "pan": pans, "aadhaar": aadhaars, "card": cards}
+DETECTORS: dict[str, Callable[..., Column]] = {"email": emails, "address": addresses, "phone": phones, "pan": pans, "aadhaar": aadhaars, "card": cards}
 NAMES = {"person_name": person_names}
 
 
@@ -114,23 +120,40 @@ def once(candidates: Column) -> Column:
 def numbered(candidates: Column, location: Column, visibility: str = "visible", prefix: str = "f") -> Column:
     """Findings: numbered as they come, shown by tokens ("Email 2") that count the values of a family."""
 
-    def one(kin):
+    def one(ranks):
         def make(c, i):
-            kind = F.get(kin, i)
-            n = F.size(F.filter(F.slice(kin, F.lit(1), i + 1), lambda k: k == kind))
+            kind = S.family(c["type"])
             return F.struct(
                 F.format_string(f"{prefix}_%02d", i + 1).alias("id"), c["type"].alias("type"), location.alias("location"), F.lit(visibility).alias("visibility"), S.sha256_hex(c["raw"]).alias("value_hash"),
-                F.coalesce(F.concat(kind, F.lit(" "), n.cast("string")), S.mask(c["raw"])).alias("value_preview"), c["severity"].alias("severity"), c["raw"].alias("raw"),
+                F.coalesce(F.concat(kind, F.lit(" "), F.get(ranks, i).cast("string")), S.mask(c["raw"])).alias("value_preview"), c["severity"].alias("severity"), c["raw"].alias("raw"),
             )
 
         return make
 
-    return S.let(candidates, lambda all_: S.let(F.transform(all_, lambda c: S.family(c["type"])), lambda kin: F.transform(all_, one(kin))))
+    def ranks_of(kin):
+        """The number of each place within its family: its place among all, sorted by family, less that of the family's first."""
+        by_family = F.array_sort(F.transform(kin, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+
+        def ranked(own):
+            kinds = F.transform(own, lambda x: x["k"])
+            firsts = S.let(F.array_distinct(kinds), lambda f: F.map_from_arrays(f, F.transform(f, lambda k: F.array_position(kinds, k))))
+            places = S.let(firsts, lambda m: F.transform(own, lambda x, j: F.struct(x["i"].alias("i"), (j + 2 - F.element_at(m, x["k"])).alias("n"))))
+            return F.transform(F.array_sort(places), lambda x: x["n"])
+
+        return S.let(by_family, ranked)
+
+    return S.let(candidates, lambda all_: S.let(ranks_of(F.transform(all_, lambda c: F.coalesce(S.family(c["type"]), F.lit("")))), lambda ranks: F.transform(all_, one(ranks))))
 
 
 def candidates(text: Column, names: bool = True, detectors: list[str] | None = None) -> Column:
-    own = once(F.concat(*[f(text) for d, f in DETECTORS.items() if detectors is None or d in detectors]))
-    return F.concat(own, *[f(text) for f in NAMES.values()]) if names else own
+    """All candidates of a text; its lines are made once."""
+    wanted = {d: f for d, f in DETECTORS.items() if detectors is None or d in detectors}
+
+    def every(own):
+        found = once(F.concat(*[f(text, own) if d == "address" else f(text) for d, f in wanted.items()]))
+        return F.concat(found, *[f(text, own) for f in NAMES.values()]) if names else found
+
+    return S.let(S.lines(text), every) if names or "address" in wanted else every(None)
 
 
 def text_findings(docs: DataFrame, text: str = "text", location: str = "text", names: bool = True, detectors: list[str] | None = None) -> DataFrame:

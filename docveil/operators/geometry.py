@@ -44,12 +44,18 @@ def overlay(rows: DataFrame) -> DataFrame:
 
 
 def drawable(rows: DataFrame) -> DataFrame:
-    """Whether a finding can be shown on the page and, if not, why."""
+    """Whether a finding (page, ocr, rects) can be shown on the page and, if not, why."""
     has = F.coalesce(F.size("rects"), F.lit(0)) > 0
-    reason = F.when(has, F.lit(None).cast("string")).when(F.col("visibility") == "hidden", F.lit("hidden in the file")).otherwise(F.lit("no place on the page"))
+    on_page = F.col("page").isNotNull() | F.coalesce("ocr", F.lit(False))
+    reason = F.when(has, F.lit(None).cast("string")).when(on_page, F.lit(fixed.REASONS["page"])).otherwise(F.lit(fixed.REASONS["file"]))
     return rows.withColumn("drawable", has).withColumn("reason", reason)
 
 
+def previewed(rows: DataFrame) -> DataFrame:
+    """Rows of the pages that a preview shows."""
+    return rows.filter(F.col("page") < fixed.PREVIEW_PAGES)
+
+
 def pdf_plan(decided: DataFrame, style: str = "token") -> DataFrame:
     """What a PDF writer has to do, step by step: metadata, comments, scrubs, then a row for each rectangle to redact."""
     due = decided.filter("decision = 'REMOVE'")

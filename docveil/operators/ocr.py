@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalar as S
+from .detect import exploded, text_findings
 
 
 def sure_words(words: DataFrame) -> DataFrame:
@@ -40,6 +41,14 @@ def boxes_for(values: DataFrame, words: DataFrame) -> DataFrame:
     return found.select("doc_id", "id", "raw", F.coalesce("_a.boxes", "_b.boxes", F.array().cast("array<array<int>>")).alias("boxes"))
 
 
+def findings(words: DataFrame) -> DataFrame:
+    """Everything that the text detectors find in recognised words, with its boxes: doc_id, n, type, severity, raw, ocr, boxes."""
+    found = exploded(text_findings(full_text(words)).select("doc_id", "findings"), "doc_id", "findings")
+    rows = found.select("doc_id", F.col("n").cast("long").alias("n"), "f.id", "f.type", "f.severity", "f.value_hash", "f.value_preview", "f.raw")
+    at = boxes_for(rows.select("doc_id", "id", "raw"), words).select("doc_id", "id", "boxes")
+    return rows.join(at, ["doc_id", "id"]).withColumn("ocr", F.lit(True))
+
+
 def verify_visual(decided: DataFrame, seen: DataFrame) -> DataFrame:
     """removed of findings from recognised text, by the text recognised in the output (doc_id, seen_text)."""
     own = decided.join(seen.select("doc_id", S.norm("seen_text").alias("_seen")), "doc_id", "left")

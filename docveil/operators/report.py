@@ -30,9 +30,10 @@ def unchecked(covered: DataFrame) -> DataFrame:
 
 
 def badge(removed, decision, ocr=None):
-    """Text of the verification badge."""
+    """Text of the verification badge; findings that aren't to be removed have none."""
     visual = F.lit(False) if ocr is None else F.coalesce(ocr, F.lit(False))
-    return F.when(decision != "REMOVE", F.lit("")).when(removed, F.when(visual, F.lit("visually verified")).otherwise(F.lit("verified removed"))).when(~removed, F.lit("still present")).otherwise(F.lit("not verified"))
+    either = lambda k: F.when(visual, F.lit(fixed.BADGES[f"{k}_ocr"])).otherwise(F.lit(fixed.BADGES[k]))
+    return F.when(decision != "REMOVE", F.lit("")).when(removed, either("removed")).when(~removed, either("present")).otherwise(F.lit(fixed.BADGES["unknown"]))
 
 
 def exif_diff(exif: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ SAMPLES = [
     "+91 91761 31104, 98765-43210; 09876543210 / 0091 98765 43210 or 4757965300",
     "ABCPE1234F éABCPE1234F ABCXE1234F ABCPE0000F",
     "Address: ab 12 Long Road, Paris\nResiding at: 5 Rue Haute\nunited front",
-    "742 Evergreen Terrace, Springfield, OR 97477\nP.O. Box 12, Springfield",
+    "318 Quarry Terrace, Millbrook, OR 97477\nP.O. Box 12, Springfield",
     "Springfield, OR 97477-1234 and Shelbyville, IL 62565",
     "12 Park Street, Chennai PIN code: 600001",
     "Name: John Smith\nDr. Ananya Sharma and Mr. Robert B. Lee met.\nAnanya Sharma",
@@ -85,6 +85,13 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated texts as recognised words, a line for each line."""
+    lines = generated(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    each = lines.select("doc_id", "line", F.posexplode(F.split("t", " +")).alias("k", "text")).filter("text <> ''")
+    return each.selectExpr("doc_id", "line * 100 + k AS word_no", "text", "90.0D AS conf", "k * 10 AS x", "line * 4 AS y", "9 AS w", "3 AS h", "0 AS block", "line")
+
+
 def ocr_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third and fourth word of each text, the inside of its first, and a value that isn't there."""
     held = words(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]).alias("w"))
@@ -97,6 +104,26 @@ def exif_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id long, side string, tag string, value string")
 
 
+def pdf_relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What a reader would give of a file for each benchmark text: two pages, the second with a customer's generated text."""
+    own = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"))
+    second = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS doc_id", "1 AS page", f"{GENERATED} AS text").join(own, "doc_id", "left_semi")
+    placed = second.select("doc_id", "page", F.posexplode(F.split("text", "[ \n]+")).alias("word_no", "text"))
+    x = (F.col("word_no") * 10).cast("double")
+    placed = placed.select("doc_id", "page", "word_no", "text", x.alias("x0"), F.lit(0.0).alias("y0"), (x + 9).alias("x1"), F.lit(3.0).alias("y1"))
+    return {
+        "metadata": own.selectExpr("doc_id", "stack(4, 'xmp', concat('packet ', doc_id), 'author', concat(' A. Uthor ', doc_id % 3, ' '), 'producer', if(doc_id % 2 = 0, ' ', 'Maker'), 'creator', 'Maker') AS (key, value)"),
+        "attachments": own.filter("doc_id % 3 = 0").selectExpr("doc_id", "1 AS n", "concat('a', doc_id, '.csv') AS name"),
+        "scripts": own.filter("doc_id % 5 = 0").selectExpr("doc_id", "'app.alert(1)' AS code"),
+        "annotations": own.selectExpr("doc_id", "doc_id % 2 AS page", "1 AS n", "if(doc_id % 4 = 0, NULL, ' Bob ') AS author", "if(doc_id % 4 = 1, ' ', 'look') AS content"),
+        "images": own.selectExpr("doc_id", "0 AS page", "7 AS n", "640 AS width", "480 AS height", "if(doc_id % 2 = 0, unhex('FFD8E9'), NULL) AS content", "array(array(1.0D, 2.0D, 3.0D, 4.0D)) AS rects"),
+        "fields": own.selectExpr("doc_id", "1 AS page", "doc_id AS n", "if(doc_id % 2 = 0, 'Name', '') AS name", "if(doc_id % 3 = 0, ' ', ' filled ') AS value"),
+        "words": words(spark, sf_dir).unionByName(placed),
+        "drawings": drawings(spark, sf_dir),
+        "page_texts": second,
+    }
+
+
 # ---- containers ----
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'

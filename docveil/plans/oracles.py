@@ -197,6 +197,43 @@ SURE = f"SELECT *, word_no // 15 AS block, (word_no // 5) % 3 AS line FROM ({GRI
 
 _STEP = "CASE WHEN (c < 5) <> (p < 5) THEN 5 ELSE 0 END + (CASE WHEN c < 5 THEN c + p ELSE c - p + 10 END) % 5"
 
+NORM = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+#: CTEs up to `hit`: each value's first run of words that spells it (i, k), else the first word that holds it (one)
+_HIT = """spelled AS (SELECT v.doc_id, v.id, v.raw, w, i, (SELECT min(k) FROM range(1, 31) r(k) WHERE i + k - 1 <= len(w) AND array_to_string(list_transform(w[i:i + k - 1], lambda y: y.n), '') = target) AS k, CASE WHEN contains(w[i].n, target) THEN i END AS one
+ FROM (SELECT v.*, w, target, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, {norm} AS target FROM v) v JOIN line_up USING (doc_id) WHERE target <> '') v),
+runs AS (SELECT doc_id, id, any_value(w) AS w, min(CASE WHEN k IS NOT NULL THEN i END) AS i, arg_min(k, CASE WHEN k IS NOT NULL THEN i END) AS k, min(one) AS one FROM spelled GROUP BY doc_id, id),
+hit AS (SELECT v.doc_id, v.id, v.raw, w, i, k, one FROM v LEFT JOIN runs ON runs.doc_id = v.doc_id AND runs.id = v.id)""".replace("{norm}", NORM("raw"))
+OCR_RUNS = f"""WITH line_up AS (SELECT doc_id, list(struct_pack(n := {NORM('text')}, box := [CAST(word_no % 5 * 10 AS INTEGER), CAST(word_no // 5 AS INTEGER), 9, 1]) ORDER BY word_no) AS w FROM ({SURE}) GROUP BY doc_id),
+own AS (SELECT doc_id, list(text ORDER BY word_no) AS l FROM ({GRID}) GROUP BY doc_id),
+v AS (SELECT doc_id, 'f_01' AS id, array_to_string(list_filter([l[3], l[4]], lambda x: x IS NOT NULL), ' ') AS raw FROM own UNION ALL SELECT doc_id, 'f_02', substr(l[1], 2, 3) FROM own UNION ALL SELECT doc_id, 'f_03', 'no such value' FROM own),
+{_HIT}"""
+_GENERATED_LINES = f"SELECT doc_id, ln, t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM ({MADE})))"
+_GENERATED_WORDS = f"SELECT doc_id, ln, ln * 100 + k - 1 AS word_no, text FROM (SELECT doc_id, ln, unnest(l) AS text, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, ln, regexp_split_to_array(t, ' +') AS l FROM ({_GENERATED_LINES}))) WHERE text <> ''"
+_READ = "SELECT doc_id, string_agg(gap || trim(text), '' ORDER BY word_no) AS text FROM (SELECT *, CASE WHEN p IS NULL THEN '' WHEN p <> ln THEN chr(10) ELSE ' ' END AS gap FROM (SELECT *, lag(ln) OVER (PARTITION BY doc_id ORDER BY word_no) AS p FROM gw)) GROUP BY doc_id"
+IMAGE = f"""WITH RECURSIVE gw AS MATERIALIZED ({_GENERATED_WORDS}), {found(_READ)},
+line_up AS (SELECT doc_id, list(struct_pack(n := {NORM('text')}) ORDER BY word_no) AS w FROM gw GROUP BY doc_id), v AS (SELECT doc_id, id, raw FROM f), {_HIT},
+boxed AS (SELECT f.*, coalesce(k, CASE WHEN one IS NOT NULL THEN 1 END, 0) AS n_boxes FROM f JOIN hit USING (doc_id, id))"""
+_PAGES = f"SELECT c_custkey AS doc_id, {GENERATED} AS text FROM customer WHERE c_custkey IN (SELECT item_id FROM benchmark)"
+_PAGE_WORDS = "SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM d"
+_I = "SELECT item_id AS doc_id FROM benchmark"
+PDF = f"""WITH RECURSIVE {found(_PAGES)}, own AS ({_I}), gw AS MATERIALIZED ({_PAGE_WORDS}),
+placed AS (SELECT f.doc_id, f.n, count(CASE WHEN w <> '' AND (w = raw OR (length(w) >= 4 AND (contains(raw, w) OR contains(w, raw)))) THEN 1 END) AS n_rects FROM f JOIN gw USING (doc_id) GROUP BY f.doc_id, f.n),
+rows_ AS (
+ SELECT doc_id, 0 AS rank, NULL AS page, 0 AS part, 1 AS n, 'REVISION_AUTHOR' AS type, 'pdf:DocInfo/Author' AS location, 'hidden' AS visibility, 'MEDIUM' AS severity, 'A. Uthor ' || doc_id % 3 AS raw, NULL AS shown, NULL AS scrub, 0 AS n_rects FROM own
+ UNION ALL SELECT doc_id, 0, NULL, 0, 2, 'SOFTWARE_FINGERPRINT', 'pdf:DocInfo/Creator', 'hidden', 'LOW', 'Maker', NULL, NULL, 0 FROM own
+ UNION ALL SELECT doc_id, 0, NULL, 0, 3, 'SOFTWARE_FINGERPRINT', 'pdf:DocInfo/Producer', 'hidden', 'LOW', 'Maker', NULL, NULL, 0 FROM own WHERE doc_id % 2 = 1
+ UNION ALL SELECT doc_id, 0, NULL, 0, 4, 'SOFTWARE_FINGERPRINT', 'pdf:XMP', 'hidden', 'LOW', 'packet ' || doc_id, NULL, NULL, 0 FROM own
+ UNION ALL SELECT doc_id, 1, NULL, 0, 1, 'EMBEDDED_OBJECT', 'pdf:embfile/a' || doc_id || '.csv', 'recoverable', 'HIGH', 'a' || doc_id || '.csv', NULL, 'attached_files', 0 FROM own WHERE doc_id % 3 = 0
+ UNION ALL SELECT doc_id, 2, NULL, 0, 0, 'JAVASCRIPT', 'pdf:catalog/Names/JavaScript', 'hidden', 'HIGH', 'app.alert(1)', NULL, 'javascript', 0 FROM own WHERE doc_id % 5 = 0
+ UNION ALL SELECT doc_id, 3, doc_id % 2, 0, 1, 'COMMENT', 'pdf:page' || (doc_id % 2 + 1) || '/annot', 'hidden', 'MEDIUM', CASE doc_id % 4 WHEN 0 THEN 'look' WHEN 1 THEN 'Bob: ' ELSE 'Bob: look' END, NULL, NULL, 0 FROM own
+ UNION ALL SELECT doc_id, 3, 0, 1, 0, 'COVERED_TEXT', 'pdf:page1/covered', 'recoverable', 'CRITICAL', string_agg(text, ' ' ORDER BY word_no), NULL, NULL, 1 FROM ({GRID}) WHERE word_no < 2 GROUP BY doc_id
+ UNION ALL SELECT f.doc_id, 3, 1, 2, f.n, f.type, 'pdf:page2', 'visible', f.severity, f.raw, NULL, NULL, placed.n_rects FROM f JOIN placed ON placed.doc_id = f.doc_id AND placed.n = f.n
+ UNION ALL SELECT doc_id, 3, 0, 3, 7, 'EMBEDDED_IMAGE', 'pdf:page1/image', 'visible', 'LOW', CASE WHEN doc_id % 2 = 0 THEN 'ÿØé' ELSE 'pdf-image-7' END, '<image 640x480px>', NULL, 1 FROM own
+ UNION ALL SELECT doc_id, 3, 1, 4, doc_id, 'FORM_FIELD', 'pdf:page2/field:' || CASE WHEN doc_id % 2 = 0 THEN 'Name' ELSE '?' END, 'visible', 'MEDIUM', 'filled', NULL, 'reset_fields', 0 FROM own WHERE doc_id % 3 <> 0),
+placed_at AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, page NULLS FIRST, part, n) AS k, {FAMILY} AS kin FROM rows_),
+named AS (SELECT *, min(k) OVER (PARTITION BY doc_id, kin, raw) AS first_k FROM placed_at),
+shown AS (SELECT doc_id, printf('f_%02d', k) AS id, type, location, visibility, severity, sha256(raw) AS value_hash, coalesce(shown, kin || ' ' || dense_rank() OVER (PARTITION BY doc_id, kin ORDER BY first_k)) AS value_preview, CAST(page AS BIGINT) AS page, scrub, n_rects FROM named)"""
+
 ORACLES: dict[str, str] = {
     "checksums": f"""WITH RECURSIVE n AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '3') AS d FROM orders),
  w AS (SELECT o_orderkey, d, 0 AS i, 0 AS c FROM n UNION ALL SELECT o_orderkey, d, i + 1, {_STEP} FROM (SELECT *, {_POWERS}[i % 8 + 1][CAST(substr(d, 12 - i, 1) AS INTEGER) + 1] AS p FROM w) WHERE i < 12)
@@ -239,11 +276,21 @@ ORACLES: dict[str, str] = {
     "report_by_type": f"WITH RECURSIVE {decided('public_sharing')} SELECT type, severity, decision, count(*) AS n_findings, count(DISTINCT doc_id) AS n_documents FROM g GROUP BY ALL",
     "report_cube": f"WITH RECURSIVE {decided('public_sharing')} SELECT type, severity, decision, count(*) AS n_findings, CAST(grouping(type, severity, decision) AS BIGINT) AS level FROM g GROUP BY CUBE (type, severity, decision)",
     "exif_diff": "SELECT * FROM (VALUES (1, '0th/Make', 'A', 'A', false), (1, 'GPS/GPSLatitude', '((1, 1),)', NULL, true), (1, '0th/Artist', '', NULL, false), (2, '0th/Model', NULL, 'B', true), (2, '0th/Software', 'x', 'y', true)) AS t(doc_id, tag, original, sanitized, changed)",
-    "badges": "SELECT * FROM (VALUES ('REMOVE', true, false, 'verified removed'), ('REMOVE', true, true, 'visually verified'), ('REMOVE', false, false, 'still present'), ('REMOVE', NULL, NULL, 'not verified'), ('KEEP', NULL, NULL, '')) AS t(decision, removed, ocr, badge)",
+    "badges": "SELECT * FROM (VALUES ('REMOVE', true, false, '✓ byte-verified removed'), ('REMOVE', true, true, '✓ OCR-verified (visual)'), ('REMOVE', false, false, '✗ still present'), ('REMOVE', false, true, '✗ still legible'), ('REMOVE', NULL, NULL, '— not verified'), ('KEEP', NULL, NULL, '')) AS t(decision, removed, ocr, badge)",
     # the first dark box covers the first two words of a text, the second less than 60 % of the fourth
     "covered_text": f"SELECT doc_id, 0 AS page, 0 AS rect_no, string_agg(text, ' ' ORDER BY word_no) AS raw FROM ({GRID}) WHERE word_no < 2 GROUP BY doc_id",
     "locate": f"WITH w AS ({GRID}), v AS (SELECT doc_id, text AS raw FROM w WHERE word_no = 0) SELECT doc_id, raw, sum(CASE WHEN text <> '' AND (text = raw OR (length(text) >= 4 AND (contains(raw, text) OR contains(text, raw)))) THEN 1 ELSE 0 END) AS n_rects FROM v JOIN w USING (doc_id) GROUP BY doc_id, raw",
     "ocr_full_text": f"SELECT doc_id, string_agg(CASE WHEN p IS NULL THEN '' WHEN p <> (block, line) THEN chr(10) ELSE ' ' END || trim(text), '' ORDER BY word_no) AS text FROM (SELECT *, lag((block, line)) OVER (PARTITION BY doc_id ORDER BY word_no) AS p FROM ({SURE})) GROUP BY doc_id",
+    "override_all": f"""WITH RECURSIVE {decided('public_sharing')} SELECT * FROM (SELECT 'REMOVE' AS choice, 'public_sharing' AS intent, 'REMOVE' AS decision, count(*) AS n_findings FROM g UNION ALL SELECT 'REMOVE', 'legal_hold', 'KEEP', count(*) FROM g
+ UNION ALL SELECT 'KEEP', 'public_sharing', 'KEEP', count(*) FROM g UNION ALL SELECT 'SHRED', 'public_sharing', decision, count(*) FROM g GROUP BY decision)""",
+    "pdf_plan": "SELECT * FROM (VALUES (1, '2 scrub javascript', NULL, NULL), (1, '3 delete comments', NULL, NULL), (1, '4 redact', 0, '[CARD NUMBER]')) AS t(doc_id, step, page, fill)",
+    "ocr_boxes": f"""{OCR_RUNS} SELECT doc_id, id, raw, coalesce(CASE WHEN i IS NOT NULL THEN to_json(list_transform(w[i:i + k - 1], lambda y: y.box)) WHEN one IS NOT NULL THEN to_json([w[one].box]) END, '[]')::VARCHAR AS boxes FROM hit""",
+    "ocr_verify": f"""{OCR_RUNS}, seen AS (SELECT doc_id, string_agg(n, '' ORDER BY word_no) AS s FROM (SELECT doc_id, word_no, {NORM('text')} AS n FROM ({SURE}) WHERE word_no % 3 = 0) GROUP BY doc_id)
+ SELECT hit.doc_id, id, raw, CASE WHEN s IS NULL THEN NULL ELSE {NORM('raw')} <> '' AND NOT contains(s, {NORM('raw')}) END AS removed FROM hit LEFT JOIN seen USING (doc_id)""",
+    "pdf_findings": f"{PDF} SELECT doc_id, id, type, location, visibility, severity, value_hash, value_preview, page, scrub, n_rects FROM shown",
+    "pdf_drawable": f"{PDF} SELECT type, n_rects > 0 AS drawable, CASE WHEN n_rects > 0 THEN NULL WHEN page IS NOT NULL THEN 'region could not be located' ELSE 'metadata — not on the page' END AS reason, count(*) AS n_findings FROM shown GROUP BY ALL",
+    "image_findings": f"{IMAGE} SELECT doc_id, n, id, type, severity, value_hash, value_preview, n_boxes FROM boxed",
+    "image_plan": f"{IMAGE} SELECT doc_id, false AS strip_metadata, sum(n_boxes) AS n_boxes FROM boxed JOIN (SELECT * FROM {MATRIX}) m USING (type) WHERE intent = 'public_sharing' AND action = 'REMOVE' GROUP BY doc_id",
     "file_routing": """WITH x AS (SELECT page_id AS doc_id, lower(['.docx', '.PDF', '.jpg', '.jpeg', '.png', '.txt', ''][page_id % 7 + 1]) AS ext, 'a' || page_id || ['.docx', '.PDF', '.jpg', '.jpeg', '.png', '.txt', ''][page_id % 7 + 1] AS name FROM pages)
  SELECT doc_id, ext, CASE ext WHEN '.docx' THEN 'docx' WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN NULL WHEN '' THEN NULL ELSE 'image' END AS kind, CASE ext WHEN '.pdf' THEN 'application/pdf' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' ELSE 'application/octet-stream' END AS media_type, 'sanitized_' || name AS output_name FROM x""",
 }

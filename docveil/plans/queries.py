@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scalar as S
 from ..operators import compile_text, detect, geometry, ocr, policy, report, terms
-from ..sources import docx, exif, files, haystack
+from ..sources import docx, exif, files, haystack, pdf
 from . import fixtures
 
 
@@ -216,7 +216,7 @@ def exif_diff(spark, sf_dir):
 
 
 def badges(spark, sf_dir):
-    rows = spark.createDataFrame([("REMOVE", True, False), ("REMOVE", True, True), ("REMOVE", False, False), ("REMOVE", None, None), ("KEEP", None, None)], "decision string, removed boolean, ocr boolean")
+    rows = spark.createDataFrame([("REMOVE", True, False), ("REMOVE", True, True), ("REMOVE", False, False), ("REMOVE", False, True), ("REMOVE", None, None), ("KEEP", None, None)], "decision string, removed boolean, ocr boolean")
     return rows.select("decision", "removed", "ocr", report.badge(F.col("removed"), F.col("decision"), F.col("ocr")).alias("badge"))
 
 
@@ -250,7 +250,45 @@ def ocr_verify(spark, sf_dir):
 
 def plans(spark, sf_dir):
     rows = spark.createDataFrame([(1, "f_01", "COMMENT", "REMOVE", None, None, None), (1, "f_02", "JAVASCRIPT", "REMOVE", "javascript", None, None), (1, "f_03", "CARD", "REMOVE", None, 0, [[1.0, 2.0, 3.0, 4.0]]), (1, "f_04", "EMAIL", "KEEP", None, 0, [[1.0, 2.0, 3.0, 4.0]])], "doc_id long, id string, type string, decision string, scrub string, page int, rects array<array<double>>")
-    return geometry.pdf_plan(rows).select("doc_id", "step", "page", "fill")
+    return _long(geometry.pdf_plan(rows), "page").select("doc_id", "step", "page", "fill")
+
+
+def _pdf(spark, sf_dir) -> DataFrame:
+    return pdf.analyze(fixtures.pdf_relations(spark, sf_dir))
+
+
+def pdf_findings(spark, sf_dir):
+    return _pdf(spark, sf_dir).select("doc_id", "id", "type", "location", "visibility", "severity", "value_hash", "value_preview", F.col("page").cast("long").alias("page"), "scrub", F.coalesce(F.size("rects"), F.lit(0)).cast("long").alias("n_rects"))
+
+
+def pdf_drawable(spark, sf_dir):
+    rows = geometry.drawable(_pdf(spark, sf_dir).withColumn("ocr", F.lit(False)))
+    return rows.groupBy("type", "drawable", "reason").agg(F.count(F.lit(1)).alias("n_findings"))
+
+
+def pdf_overlay(spark, sf_dir):
+    rows = geometry.previewed(geometry.overlay(_pdf(spark, sf_dir).filter("rects is not null")))
+    return _long(rows, "page", "rect_no").select("doc_id", "id", "page", "rect_no", "x0", "y0", "x1", "y1")
+
+
+def pdf_steps(spark, sf_dir):
+    rows = geometry.pdf_plan(policy.decide(_pdf(spark, sf_dir), "public_sharing"))
+    return rows.groupBy("step", "fill").agg(F.count(F.lit(1)).alias("n_steps"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+def image_findings(spark, sf_dir):
+    return ocr.findings(fixtures.ocr_pages(spark, sf_dir)).select("doc_id", "n", "id", "type", "severity", "value_hash", "value_preview", F.size("boxes").cast("long").alias("n_boxes"))
+
+
+def image_plan(spark, sf_dir):
+    rows = geometry.image_plan(policy.decide(ocr.findings(fixtures.ocr_pages(spark, sf_dir)), "public_sharing"))
+    return rows.select("doc_id", "strip_metadata", F.size("paint").cast("long").alias("n_boxes"))
+
+
+def override_all(spark, sf_dir):
+    rows = policy.decide(_findings(spark, sf_dir), "public_sharing")
+    made = [policy.override_all(rows, c, i).select(F.lit(c).alias("choice"), F.lit(i).alias("intent"), "decision") for c, i in (("REMOVE", "public_sharing"), ("REMOVE", "legal_hold"), ("KEEP", "public_sharing"), ("SHRED", "public_sharing"))]
+    return terms.merged(*made).groupBy("choice", "intent", "decision").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
 # ---- containers ----
@@ -343,6 +381,13 @@ QUERIES = {
     "ocr_boxes": ocr_boxes,
     "ocr_verify": ocr_verify,
     "pdf_plan": plans,
+    "pdf_findings": pdf_findings,
+    "pdf_drawable": pdf_drawable,
+    "pdf_overlay": pdf_overlay,
+    "pdf_steps": pdf_steps,
+    "image_findings": image_findings,
+    "image_plan": image_plan,
+    "override_all": override_all,
     "docx_findings": docx_findings,
     "docx_compile": docx_compile,
     "docx_parts": docx_parts,

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from xml.dom import minidom
 
 import pyarrow as pa
@@ -33,12 +35,19 @@ BODY = "word/document.xml"
 AUTHORS, APPS, COMMENTS, DELETIONS, TEXT, EMBEDDED, HEADERS, PROPERTIES = range(8)
 
 
-def read_parts(content: bytes) -> dict[str, bytes]:
-    """Nothing for bytes that are no zip file."""
+#: bytes that a container's parts may have together
+MOST_BYTES = 256 << 20
+DAMAGED = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, struct.error, OSError, ValueError)
+
+
+def read_parts(content: bytes | None) -> dict[str, bytes]:
+    """Nothing for bytes that are no zip file, or a damaged, encrypted or overlong one."""
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
+                return {}
             return {name: z.read(name) for name in z.namelist()}
-    except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+    except DAMAGED:
         return {}
 
 
@@ -51,8 +60,11 @@ def write_parts(parts: dict[str, bytes]) -> bytes:
 
 
 def _parsed(parts: dict[str, bytes], name: str):
+    # entities can make a small part fill the memory; Word writes none
+    if name not in parts or b"<!ENTITY" in parts[name] or b"<!DOCTYPE" in parts[name]:
+        return None
     try:
-        return minidom.parseString(parts[name]) if name in parts else None
+        return minidom.parseString(parts[name])
     except Exception:  # a part that is no XML gives nothing
         return None
 
@@ -198,9 +210,12 @@ def _accept_changes(tree) -> None:
         x.parentNode.removeChild(x)
 
 
-def rewrite(content: bytes, removals: list[dict]) -> bytes:
-    """A fresh container. removals: type, location, raw, part, custom_prop, repl of each finding to remove, in order."""
+def rewrite(content: bytes | None, removals: list[dict]) -> bytes | None:
+    """A fresh container. removals: type, location, raw, part, custom_prop, repl of each finding to remove, in order.
+    Bytes that can't be read as one, null included, are handed through as they are: see unreadable()."""
     parts = read_parts(content)
+    if not parts:
+        return content
     by_type: dict[str, list[dict]] = {}
     for r in removals:
         by_type.setdefault(r["type"], []).append(r)
@@ -250,8 +265,21 @@ def rewrite(content: bytes, removals: list[dict]) -> bytes:
     return write_parts(parts)
 
 
+def unreadable(files: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id of the files that can't be read as containers, to be kept apart from the compiled ones."""
+    kind = files.schema[doc_id].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            bad = [not read_parts(c) for c in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(bad, pa.bool_()))], [doc_id])
+
+    return files.select(doc_id, "content").mapInArrow(run, f"{doc_id} {kind}")
+
+
 def compile_files(files: DataFrame, decided: DataFrame, style: str = "token", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, content: containers rewritten by the REMOVE findings; documents without any are packed anew as they are."""
+    """doc_id, content: containers rewritten by the REMOVE findings; documents without any are packed anew as they are, and
+    files that can't be read as containers are handed through untouched; unreadable() lists them, and nothing in them is removed."""
     repl = F.when(F.col("type") == "SOFTWARE_FINGERPRINT", F.lit("")).when((F.col("type") == "REVISION_AUTHOR") & F.lit(style == "blackbox"), F.lit("")).otherwise(S.replacement("type", F.coalesce("raw", F.lit("")), style))
     fields = ["id", "type", "location", "raw", "part", "custom_prop"]
     have = [F.col(c) if c in decided.columns else F.lit(None).cast("string").alias(c) for c in fields]

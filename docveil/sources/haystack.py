@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 import zlib
 
@@ -14,18 +15,31 @@ MOST_STREAMS = 200_000
 HEADS = (b"\x78\x01", b"\x78\x9c", b"\x78\xda", b"\x78\x5e")
 
 
-def haystack(content: bytes) -> bytes:
+#: bytes of one zlib stream that are looked through, so that a small file can't fill a worker
+MOST_BYTES = 256 << 20
+
+
+def haystack(content: bytes | None) -> bytes | None:
+    """Null where the bytes can't be looked through: a damaged or encrypted container, or a stream of more than MOST_BYTES."""
     content = content or b""
     if zipfile.is_zipfile(io.BytesIO(content)):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return b"\n".join(z.read(n) for n in z.namelist())
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
+                    return None
+                return b"\n".join(z.read(n) for n in z.namelist())
+        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, struct.error, OSError):
+            return None
     found, view = [content], memoryview(content)
     at = sorted(i for head in HEADS for i in _places(content, head))[:MOST_STREAMS]
     for i in at:
         try:
-            data = zlib.decompressobj().decompress(view[i:])
+            opened = zlib.decompressobj()
+            data = opened.decompress(view[i:], MOST_BYTES)
         except zlib.error:
             continue
+        if opened.unconsumed_tail:
+            return None
         if data:
             found.append(data)
     return b"\n".join(found)
