@@ -126,13 +126,13 @@ def word_ids(path: str):
     return lambda pieces: [e.ids for e in model.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, most_open: int = 4096, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, most_open: int = 4096, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
     kind = docs.schema[doc_id].dataType.simpleString()
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
-        memo = kept(f"word ids {path}", lambda: Ids(word_ids(path), most=1_200_000))  # about 300 MB
+        memo = kept(f"word ids {path}", lambda: Ids(word_ids(path)))
         rows: list[tuple] = []
         sequence = [TaskContext.get().partitionId() << 40]
 

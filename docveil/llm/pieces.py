@@ -39,7 +39,7 @@ class Ids(dict):
     def drop(self) -> None:
         self.clear()
         self.fresh: list = []
-        self.flat, self.lens = array(self.code), array("q")
+        self.flat, self.lens, self.starts = array(self.code), array("q"), array("q")
         self.seen = np.zeros(0, dtype=np.int64)
 
     def thin_out(self) -> None:
@@ -50,9 +50,11 @@ class Ids(dict):
         lens, flat, seen = np.array(self.lens, dtype=np.int64), np.array(self.flat, dtype=self.code), self.seen[keep] // 2
         self.drop()
         self.update(zip(names, range(len(names)), strict=True))
-        self.lens, self.seen = array("q", lens[keep].tobytes()), seen
+        own = lens[keep]
+        self.lens, self.seen = array("q", own.tobytes()), seen
         if self.keep_ids:
-            self.flat = array(self.code, flat[spread((np.cumsum(lens) - lens)[keep], lens[keep])].tobytes())
+            self.flat = array(self.code, flat[spread((np.cumsum(lens) - lens)[keep], own)].tobytes())
+            self.starts = array("q", (np.cumsum(own) - own).tobytes())
 
     def __missing__(self, piece):
         self[piece] = n = len(self)
@@ -70,6 +72,7 @@ class Ids(dict):
             for ids in self.encode(self.fresh[i:j]):
                 self.lens.append(len(ids))
                 if self.keep_ids:
+                    self.starts.append(len(self.flat))
                     self.flat.extend(ids)
             i = j
         self.fresh = []
@@ -85,17 +88,16 @@ class Ids(dict):
 
     def counts(self, pieces: list) -> np.ndarray:
         at = self.look_up(pieces)
-        return np.array(self.lens, dtype=np.int64)[at] if len(at) else np.zeros(0, dtype=np.int64)
+        return np.asarray(self.lens)[at] if len(at) else np.zeros(0, dtype=np.int64)
 
     def ids(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces in order, and how many each piece has."""
         at = self.look_up(pieces)
         if not len(at):
             return np.zeros(0, dtype=self.code), np.zeros(0, dtype=np.int64)
-        lens = np.array(self.lens, dtype=np.int64)
-        starts = np.cumsum(lens) - lens
-        lens, starts = lens[at], starts[at]
-        return np.array(self.flat, dtype=self.code)[spread(starts, lens)], lens
+        # views, gone before anything is added: nothing the size of the memo is copied for a slice
+        lens = np.asarray(self.lens)[at]
+        return np.asarray(self.flat)[spread(np.asarray(self.starts)[at], lens)], lens
 
 
 def kept(name: str, make) -> Ids:
