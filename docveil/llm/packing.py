@@ -132,7 +132,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, most_o
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches):
-        memo = kept(f"word ids {path}", lambda: Ids(word_ids(path)))
+        memo = kept(f"word ids {path}", lambda: Ids(word_ids(path), most=900_000))
         rows: list[tuple] = []
         sequence = [TaskContext.get().partitionId() << 40]
 
