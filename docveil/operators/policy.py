@@ -19,13 +19,13 @@ def checked_intent(intent: str, strict: bool = True) -> str:
 
 def policy_matrix(spark: SparkSession) -> DataFrame:
     """type, intent, action: 80 rows."""
-    rows = [(t, i, a) for t, actions in fixed.POLICY.items() for i, a in zip(fixed.INTENTS, actions.split(), strict=True)]
+    rows = [(t, i, a) for t, actions in fixed.POLICY.items() for i, a in zip(fixed.INTENTS, actions, strict=True)]
     return spark.createDataFrame(rows, "type string, intent string, action string")
 
 
 def action_of(type_: Column, intent: str) -> Column:
     """The matrix as an expression, for arrays of findings; what it doesn't name is WARN."""
-    pairs = [F.lit(x) for t, actions in fixed.POLICY.items() for x in (t, actions.split()[fixed.INTENTS.index(intent)])]
+    pairs = [F.lit(x) for t, actions in fixed.POLICY.items() for x in (t, actions[fixed.INTENTS.index(intent)])]
     return held_back(F.coalesce(F.try_element_at(F.create_map(*pairs), type_), F.lit("WARN")), F.lit(intent))
 
 
@@ -34,11 +34,11 @@ def held_back(action: Column, intent: Column) -> Column:
 
 
 def decide(rows: DataFrame, intent: str, matrix: DataFrame | None = None) -> DataFrame:
-    """decision of every finding; matrix: another policy as type, intent, action (80 rows or so, sent everywhere)."""
+    """decision of every finding; matrix: another policy as type, intent, action, of any size: Spark chooses the join by it."""
     intent = checked_intent(intent)
-    own = (policy_matrix(rows.sparkSession) if matrix is None else matrix).filter(F.col("intent") == intent).select(F.col("type").alias("_type"), F.col("action").alias("_action"))
+    own = (F.broadcast(policy_matrix(rows.sparkSession)) if matrix is None else matrix).filter(F.col("intent") == intent).select(F.col("type").alias("_type"), F.col("action").alias("_action"))
     known = F.when(F.col("_action").isin(fixed.ACTIONS), F.col("_action")).otherwise(F.lit("WARN"))
-    joined = rows.join(F.broadcast(own), F.col("type") == F.col("_type"), "left")
+    joined = rows.join(own, F.col("type") == F.col("_type"), "left")
     return joined.withColumn("decision", held_back(known, F.lit(intent))).drop("_type", "_action")
 
 

@@ -162,7 +162,7 @@ names AS (SELECT x.doc_id, x.raw, row_number() OVER (PARTITION BY x.doc_id ORDER
 
 FAMILY = "CASE type " + " ".join(f"WHEN {q(t)} THEN {q(v[3])}" for t, v in fixed.TYPES.items() if v[3]) + " END"
 LABEL = "CASE type " + " ".join(f"WHEN {q(t)} THEN {q(v[0])}" for t, v in fixed.TYPES.items() if v[0]) + " ELSE 'REDACTED' END"
-MATRIX = values([(t, i, a) for t, x in fixed.POLICY.items() for i, a in zip(fixed.INTENTS, x.split(), strict=True)], "type", "intent", "action")
+MATRIX = values([(t, i, a) for t, x in fixed.POLICY.items() for i, a in zip(fixed.INTENTS, x, strict=True)], "type", "intent", "action")
 TEXTS = f"{DOCS} UNION ALL {OWN} UNION ALL {MADE}"
 
 

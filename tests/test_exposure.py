@@ -121,7 +121,7 @@ def test_whole_queries(spark, tmp_path, monkeypatch):
     want = [("EMAIL", "a@b.cd"), ("ADDRESS", "318 Quarry Terrace, Millbrook, OR 97477"), ("PHONE", "+91 91761 31104"), ("AADHAAR", "234123412346"), ("PERSON_NAME", "Dr. Ananya Sharma")]
     monkeypatch.setattr(queries, "texts", lambda s, at: texts(s, text, "nothing"))
     run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
-    action = {i: {t: (fixed.POLICY[t].split()[k], v) for t, v in want} for k, i in enumerate(fixed.INTENTS)}
+    action = {i: {t: (fixed.POLICY[t][k], v) for t, v in want} for k, i in enumerate(fixed.INTENTS)}
     for intent in fixed.INTENTS:
         got = {r["id"]: (r["type"], r["decision"]) for r in run(f"decide_{intent}")}
         assert got == {f"f_{n + 1:02d}": (t, action[intent][t][0]) for n, (t, _) in enumerate(want)}
