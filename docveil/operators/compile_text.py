@@ -46,6 +46,12 @@ def verified(docs: DataFrame, text: str = "text", output: str = "output") -> Dat
     return docs.withColumn("findings", S.let(F.struct(bytes_of(output).alias("hay"), bytes_of(text).alias("before")), lambda b: F.transform("findings", one(b["hay"], b["before"]))))
 
 
+def verified_bytes(docs: DataFrame, content: str = "content") -> DataFrame:
+    """Decided documents whose findings carry removed: null unless removal was due and there are bytes to search."""
+    one = lambda f: f.withField("removed", F.when((f["decision"] == "REMOVE") & f["raw"].isNotNull() & F.col(content).isNotNull(), ~F.exists(S.needles(f["raw"]), lambda n: F.contains(F.col(content), n))))
+    return docs.withColumn("findings", F.transform("findings", one))
+
+
 def verify_relation(rows: DataFrame, haystacks: DataFrame, doc_id: str = "doc_id", content: str = "content", ocr: str | None = None) -> DataFrame:
     """The same for a relation of decided findings with raw values and one of output bytes, one row per document."""
     due = (F.col("decision") == "REMOVE") & F.col("raw").isNotNull()

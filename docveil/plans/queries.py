@@ -301,8 +301,9 @@ def word_files(spark, sf_dir) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            out = [fixtures.docx_bytes(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
+            for some in haystack.slices(batch, "text"):
+                out = [fixtures.docx_bytes(t or "") for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
 
     return documents(spark, sf_dir).mapInArrow(run, "doc_id bigint, content binary")
 
@@ -312,10 +313,8 @@ def docx_findings(spark, sf_dir):
 
 
 def docx_compile(spark, sf_dir):
-    own = word_files(spark, sf_dir)
-    rows = policy.decide(docx.analyze(own), "public_sharing")
-    done = docx.compile_files(own, rows)
-    return compile_text.verify_relation(rows, haystack.haystacks(done)).select("doc_id", "id", "type", "decision", "removed")
+    done = docx.compiled(compile_text.decided(docx.analysed(word_files(spark, sf_dir)), "public_sharing"), seen=haystack.haystack)
+    return detect.findings(compile_text.verified_bytes(done)).select("doc_id", "id", "type", "decision", "removed")
 
 
 def docx_parts(spark, sf_dir):

@@ -270,3 +270,57 @@ def test_numbers_by_family(spark):
         count[r["type"]] = count.get(r["type"], 0) + 1
         assert r["value_preview"] == f"{fixed.TYPES[r['type']][3]} {count[r['type']]}"
     assert count == {"EMAIL": 300, "PHONE": 300}
+
+
+def test_word_containers_in_one_pass(spark):
+    """Containers are made, read, rewritten and searched once each, without a join or a shuffle; ids may be null or repeat."""
+    import re
+
+    import __spark_entry__ as entry
+    from docveil.operators import compile_text, detect
+    from docveil.sources import docx, haystack
+
+    plan = entry.queries()["docx_compile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow", plan)) == 3 and "Exchange" not in plan and "Join" not in plan
+    rows = [(None, bytearray(fixtures.docx_bytes("mail a@b.cd"))), (7, bytearray(fixtures.docx_bytes("x"))), (7, bytearray(fixtures.docx_bytes("y"))), (8, None)]
+    own = compile_text.decided(docx.analysed(spark.createDataFrame(rows, "doc_id long, content binary")), "public_sharing")
+    got = detect.findings(compile_text.verified_bytes(docx.compiled(own, seen=haystack.haystack))).collect()
+    assert sorted((r["doc_id"] or 0, r["id"]) for r in got) == [(0, f"f_{i:02d}") for i in range(1, 11)] + [(7, f"f_{i:02d}") for i in range(1, 10) for _ in "xy"]
+    due = [r for r in got if r["decision"] == "REMOVE"]
+    assert due and all(r["removed"] for r in due) and all(r["removed"] is None for r in got if r["decision"] != "REMOVE")
+
+
+def test_parts_changed_in_bytes_as_in_a_tree():
+    """Splicing a part's bytes gives what changing its tree gives."""
+    from xml.etree import ElementTree
+
+    from docveil.sources import docx
+
+    w = f'xmlns:w="{docx.W}"'
+    parts = [
+        f'<w:document {w}><w:body><w:p><w:r><w:t>a &amp; b é a@b.cd</w:t><w:t/><w:t></w:t></w:r></w:p></w:body></w:document>',
+        f'﻿<?xml version="1.0" encoding="UTF-8"?>\n<!-- n --><q:d xmlns:q="{docx.W}"><q:ins><q:t>new a@b.cd</q:t><q:del><q:ins><q:t>in</q:t></q:ins></q:del></q:ins>\n<q:del/><q:ins/><q:del><q:del>x</q:del></q:del><t>a@b.cd</t></q:d><!-- end -->\n',
+        f'<w:d {w}><w:t><![CDATA[a@b.cd <&]]> tail</w:t><w:p><w:commentReference w:id="1"/><w:commentRangeStart/>é</w:p></w:d>',
+        f'<w:d {w}><w:t>a@b.cd<w:tab/> more</w:t></w:d>',
+        f'<w:d {w}><w:t>a@<!-- c -->b.cd</w:t><w:ins>x<w:ins>y</w:ins>z</w:ins></w:d>',
+        f'<c:p xmlns:c="{docx.CORE}" xmlns:d="{docx.DC}"><c:creator>c</c:creator><d:x><d:creator/></d:x><d:creator>e</d:creator></c:p>',
+        f'<P xmlns="{docx.CUSTOM}" xmlns:v="v"><property name="k"><v:s>1</v:s><v:s/><v:s> a </v:s></property><property name="o"><v:s>2</v:s></property></P>',
+        f'<T xmlns="{docx.TYPES}"><Override PartName="/gone"/><Override PartName="/kept"/></T>',
+    ]
+    own = docx.Changes()
+    own.put["creator"] = "<new> & name"
+    own.drop |= {(docx.W, "del"): lambda attr: True, (docx.W, "commentReference"): lambda attr: True, (docx.TYPES, "Override"): lambda attr: attr("PartName") == "/gone"}
+    own.unwrap.append((docx.W, "ins"))
+    own.fill.append(("a@b.cd", "[EMAIL]"))
+    own.blank.add("k")
+    seen = []
+    for part in parts:
+        tree = docx.minidom.parseString(part.encode())
+        own.in_tree(tree)
+        spliced = own.in_bytes(part.encode())
+        seen.append(spliced is not None)
+        assert spliced is None or ElementTree.canonicalize(spliced.decode("utf-8-sig")) == ElementTree.canonicalize(tree.toxml())
+    assert seen == [True, True, True, False, False, True, True, True]
+    assert own.in_bytes(parts[1].replace("﻿", "").encode("utf-16")) is None and own.in_bytes(b"<a>") is None
+    deep = f"<w:d {w}>" + "<w:p>" * 5000 + "<w:t>a@b.cd</w:t>" + "</w:p>" * 5000 + "</w:d>"
+    assert own.in_bytes(deep.encode()) == deep.replace("a@b.cd", "[EMAIL]").encode()
